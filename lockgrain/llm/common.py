@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if its counted rows are ``rows`` at most.
+
+    Larger tables are joined as the planner sees fit.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of results that are written by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 

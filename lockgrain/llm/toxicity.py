@@ -21,7 +21,7 @@ FIT_ROWS = 20_000
 #: Words in the model, at most: those whose log-odds between toxic and clean texts are most significant.
 VOCABULARY = 2000
 #: Least significance (in standard errors) of a word's log-odds.
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 #: Expected severity from which a text counts as toxic: more than half a grade.
 EDGE = 0.5
 
