@@ -59,7 +59,7 @@ def probe_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]
 
 
 def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
-    """Edit distance of two arrays of characters (names of columns) if it is ``edits`` at most, else more than that.
+    """Edit distance of two texts (names of columns; the first is not the shorter one) if it is ``edits`` at most, else more than that.
 
     A column of the distance matrix is held within the band of ``2 * edits + 1`` diagonals as two integers, one bit a
     row: where the value rises by one from the row above, and where it falls.  One step updates all rows of a column.
@@ -67,7 +67,7 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     width, mid = 2 * edits + 1, 1 << edits
     mask, top = (1 << width) - 1, 1 << (width - 1)
     first = f"named_struct('p', {((1 << edits) - 1) << (edits + 1)}L, 'n', {(1 << (edits + 1)) - 1}L, 's', 0L)"
-    equal = " + ".join(f"if(get({longer}, j - {edits + 1 - d}) = get({shorter}, j - 1), {1 << d}L, 0L)" for d in range(width))
+    equal = " + ".join(f"if(get(w.x, j - {edits + 1 - d}) = get(w.y, j - 1), {1 << d}L, 0L)" for d in range(width))
     # each "let" is a one-element array, so that a value used often is computed once
     let = lambda name, value, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     step = let(
@@ -83,9 +83,10 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
             ),
         ),
     )
-    below = " + ".join(["c.s", *(f"if(size({longer}) - size({shorter}) >= {k}, (shiftright(c.p, {edits + k}) & 1L) - (shiftright(c.n, {edits + k}) & 1L), 0L)" for k in range(1, edits + 1))])
-    columns = f"if(size({shorter}) = 0, cast(array() as array<int>), sequence(1, size({shorter})))"
-    return F.expr(f"aggregate({columns}, {first}, (c, j) -> {step}, c -> {below})")
+    below = " + ".join(["c.s", *(f"if(size(w.x) - size(w.y) >= {k}, (shiftright(c.p, {edits + k}) & 1L) - (shiftright(c.n, {edits + k}) & 1L), 0L)" for k in range(1, edits + 1))])
+    columns = "if(size(w.y) = 0, cast(array() as array<int>), sequence(1, size(w.y)))"
+    chars = lambda c: f"if({c} = '', cast(array() as array<string>), split({c}, ''))"
+    return F.expr(let("w", f"named_struct('x', {chars(longer)}, 'y', {chars(shorter)})", f"aggregate({columns}, {first}, (c, j) -> {step}, c -> {below})"))
 
 
 def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
@@ -105,7 +106,7 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("n")), "b")
         both = both.where(F.abs(F.col("m") - F.col("n")) <= edits)
         longer, shorter = F.when(F.col("m") >= F.col("n"), F.col("x")).otherwise(F.col("y")), F.when(F.col("m") >= F.col("n"), F.col("y")).otherwise(F.col("x"))
-        both = both.select("a", "b", F.split(longer, "").alias("long"), F.split(shorter, "").alias("short"))
+        both = both.select("a", "b", longer.alias("long"), shorter.alias("short"))
         return both.where(distance("long", "short", edits) <= edits).select("a", "b")
 
     links = staged(verify(pairs), "links")
