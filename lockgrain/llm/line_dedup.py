@@ -37,6 +37,19 @@ def _key(i: int, length: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(i), length.cast("int"), text)
 
 
+#: Letters that are counted together; all other characters are a group of their own.
+LETTERS = ["eq", "axj", "iz", "onk", "rtv", "slb", "ducw", "hmgfpy"]
+
+
+def letter_counts(norm: Column) -> Column:
+    """How often each group of ``LETTERS`` occurs, then the rest: an edit changes their sum of differences by two at most."""
+    each = [F.length(norm) - F.length(F.translate(norm, group, "")) for group in LETTERS]
+    rest = F.length(norm)
+    for n in each:
+        rest = rest - n
+    return F.array(*each, rest)
+
+
 def index_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]:
     out = []
     for i in range(1, edits + 2):
@@ -63,6 +76,8 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
 
     A column of the distance matrix is held within the band of ``2 * edits + 1`` diagonals as two integers, one bit a
     row: where the value rises by one from the row above, and where it falls.  One step updates all rows of a column.
+    The value on the main diagonal never falls, and exceeds the distance by ``edits`` at most: beyond that, no step is
+    made any more.
     """
     width, mid = 2 * edits + 1, 1 << edits
     mask, top = (1 << width) - 1, 1 << (width - 1)
@@ -86,7 +101,7 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     below = " + ".join(["c.s", *(f"if(size(w.x) - size(w.y) >= {k}, (shiftright(c.p, {edits + k}) & 1L) - (shiftright(c.n, {edits + k}) & 1L), 0L)" for k in range(1, edits + 1))])
     columns = "if(size(w.y) = 0, cast(array() as array<int>), sequence(1, size(w.y)))"
     chars = lambda c: f"if({c} = '', cast(array() as array<string>), split({c}, ''))"
-    return F.expr(let("w", f"named_struct('x', {chars(longer)}, 'y', {chars(shorter)})", f"aggregate({columns}, {first}, (c, j) -> {step}, c -> {below})"))
+    return F.expr(let("w", f"named_struct('x', {chars(longer)}, 'y', {chars(shorter)})", f"aggregate({columns}, {first}, (c, j) -> if(c.s > {2 * edits}L, c, {step}), c -> {below})"))
 
 
 def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
@@ -95,10 +110,10 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
     keys = lambda made: distinct.select(F.explode(F.array(*made)).alias("key"), "id", "size")
     probes = keys(probe_keys(norm, size, edits))
     index = keys(index_keys(norm, size, edits)).groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
-    index = staged(index, "index")
-    pairs = probes.join(index.select("key", "c"), "key").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    pairs = staged(pairs, "pairs")
+    # a line's own segments are among its probes, so the probes of a key are all of its lines
+    hits = staged(probes.join(index, "key").where("id != c or c != z"), "hits")
     release(distinct.sparkSession)
+    pairs = staged(hits.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
@@ -110,14 +125,14 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
         return both.where(distance("long", "short", edits) <= edits).select("a", "b")
 
     links = staged(verify(pairs), "links")
-    several = staged(index.where("c < z").select("key"), "several")
-    if several.isEmpty():
+    members = hits.where("c != z").select("key", "id", "size").distinct()
+    if members.isEmpty():
         return None if links.isEmpty() else components(links, "a", "b")
     # keys with more than one indexed line: their further pairs, for what is not yet in one component
-    every = keys(index_keys(norm, size, edits) + probe_keys(norm, size, edits))
-    members = staged(every.join(if_small(several), "key").select("key", "id", "size").distinct(), "members")
-    release(distinct.sparkSession)
-    return linked(members, verify, None, (pairs, links))
+    ids = staged(members.select("id").distinct(), "ids")
+    counts = distinct.join(if_small(ids), "id", "left_semi").select("id", letter_counts(norm).alias("counts"))
+    members = staged(members.join(counts, "id"), "members")
+    return linked(members, verify, None, (pairs, links), lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d) <= 2 * edits)
 
 
 def marked_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
