@@ -18,13 +18,14 @@ from lockgrain.llm.components import components
 CENTRE_ROUNDS = 2
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float | None = None, start: tuple[DataFrame, DataFrame] | None = None, can: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float | None = None, start: tuple[DataFrame, DataFrame] | None = None, can: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame | None:
     """(node, component) of all ids with a link; None if there is no bucket to look at and no link.
 
     ``members`` (key, id, size) is a written table whose buckets hold two ids or more; ``verify`` takes distinct pairs
     (a < b) and returns those that link.  With ``size_ratio``, ids whose sizes differ by more than that factor cannot
     link and are not paired.  ``start`` are pairs verified before and the links among them.
-    ``can`` is a condition that all links meet, on the members' column ``counts``, by which pairs are sifted.
+    ``can`` is a table (id, counts) and a condition on the counts of both that all links meet: pairs that do not meet it
+    are never formed.
     """
     tested, links = start or (None, None)
     classes = staged(components(links, "a", "b"), "classes") if start else None
@@ -46,6 +47,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ra
             near = (F.greatest("size", "cs") * size_ratio <= F.least("size", "cs")) if size_ratio else F.lit(True)
             pairs = pairs.where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
+            rows = rows.join(can[0], "id") if can else rows
             p, q = rows, rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), F.col("size").alias("s2"), *[F.col("counts").alias("n2")] * bool(can))
             if size_ratio:  # sizes in steps of the ratio: partners are in the same or the next step
                 band = lambda s: F.floor(F.log(F.col(s)) / -F.log(F.lit(size_ratio * 0.99))).cast("int")
@@ -55,7 +57,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ra
             else:
                 on = F.col("key") == F.col("k2")
             if can:
-                on = on & can(F.col("counts"), F.col("n2"))
+                on = on & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2")) & can[1](F.col("counts"), F.col("n2"))
             pairs = p.join(q, on & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2"))).select(F.col("id").alias("a"), "b")
         pairs = pairs.distinct()
         if tested is not None:

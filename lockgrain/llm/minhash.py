@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_percent:
 
         return both.mapInArrow(confirm, out).distinct()
 
-    classes = linked(members, verify, threshold_percent / 100)
+    classes = linked(members, verify, threshold_percent / 100, None, (reps.select("id", F.col("low").alias("counts")), lambda x, y: estimate(x, y) >= least))
     # every document by the first one with its set, and that one by its component
     named = first.join(classes, first.rep == classes.node, "left").select("digest", F.coalesce("component", "rep").alias("root"))
     all_ = made.join(named, "digest", "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
