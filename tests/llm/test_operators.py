@@ -249,10 +249,19 @@ def test_minhash_edges(spark, odd, none):
     assert minhash.keep_one(odd, shingle_words=4).columns == odd.columns
 
 
-def test_components(spark):
-    links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 1), (20, 21), (None, 3), (5, 5)] + [(100, k) for k in range(101, 160)]
+@pytest.mark.parametrize("task_links", [0, components.TASK_LINKS])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(1, 40)] + [(60, 50), (50, 60), (70, 70), (None, 1)]
+    links += [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(170)]
+    root = {x: x for pair in links for x in pair if None not in pair and pair[0] != pair[1]}
+    for _ in root:  # the least of both ends, as often as there are nodes
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
-    assert {got[k] for k in (1, 2, 3, 8, 9, 10)} == {1} and got[21] == 20 and {got[k] for k in range(100, 160)} == {100} and 5 not in got
+    assert got == root
 
 
 def test_pipeline(spark):
