@@ -12,20 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockgrain.llm.common import staged
+from lockgrain.llm.common import if_small, staged
 from lockgrain.llm.components import components
 
 CENTRE_ROUNDS = 2
+#: Factor between sizes of neighbouring steps.
+STEP = 1.06
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float | None = None, start: tuple[DataFrame, DataFrame] | None = None, can: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame | None:
+def _step(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(F.lit(1.0), size)) / F.log(F.lit(STEP))).cast("int")
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float | None = None, start: tuple[DataFrame, DataFrame] | None = None, can: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame | None:
     """(node, component) of all ids with a link; None if there is no bucket to look at and no link.
 
     ``members`` (key, id, size) is a written table whose buckets hold two ids or more; ``verify`` takes distinct pairs
     (a < b) and returns those that link.  With ``size_ratio``, ids whose sizes differ by more than that factor cannot
     link and are not paired.  ``start`` are pairs verified before and the links among them.
-    ``can`` is a table (id, counts) and a condition on the counts of both that all links meet: pairs that do not meet it
-    are never formed.
+    ``can`` makes a table (id, counts) for a written table of the ids that are still open, and has a condition on the
+    counts of both that all links meet: pairs that do not meet it are never formed.  Columns low and high of that table
+    bound the sizes of an id's partners more closely than ``size_ratio``.
     """
     tested, links = start or (None, None)
     classes = staged(components(links, "a", "b"), "classes") if start else None
@@ -47,18 +54,22 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ra
             near = (F.greatest("size", "cs") * size_ratio <= F.least("size", "cs")) if size_ratio else F.lit(True)
             pairs = pairs.where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
-            rows = rows.join(can[0], "id") if can else rows
-            p, q = rows, rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), F.col("size").alias("s2"), *[F.col("counts").alias("n2")] * bool(can))
-            if size_ratio:  # sizes in steps of the ratio: partners are in the same or the next step
-                band = lambda s: F.floor(F.log(F.col(s)) / -F.log(F.lit(size_ratio * 0.99))).cast("int")
-                p = p.withColumn("band", F.explode(F.array(band("size") - 1, band("size"), band("size") + 1)))
-                on = (F.col("key") == F.col("k2")) & (F.col("band") == F.col("b2")) & (F.greatest("size", "s2") * size_ratio <= F.least("size", "s2"))
-                q = q.withColumn("b2", band("s2"))
-            else:
-                on = F.col("key") == F.col("k2")
+            on = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2"))
+            if can:
+                counts = staged(can[0](staged(rows.select("id").distinct(), "ids")), "counts")
+                rows = rows.join(if_small(counts, 50_000), "id")
+            if size_ratio and "low" not in rows.columns:
+                rows = rows.withColumns({"low": F.col("size") * size_ratio, "high": F.col("size") / size_ratio})
+            p, also = rows, []
+            if size_ratio:  # sizes in steps: a row meets the rows in the steps of its range
+                p = rows.where("low <= high").withColumn("band", F.explode(F.sequence(_step(F.col("low") * 0.999), _step(F.col("high") * 1.001))))
+                also = [_step(F.col("size")).alias("b2"), F.col("size").alias("s2"), F.col("low").alias("l2"), F.col("high").alias("h2")]
+                on = on & (F.col("band") == F.col("b2")) & F.col("s2").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("l2"), F.col("h2"))
             if can:
-                on = on & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2")) & can[1](F.col("counts"), F.col("n2"))
-            pairs = p.join(q, on & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2"))).select(F.col("id").alias("a"), "b")
+                also.append(F.col("counts").alias("n2"))
+                on = on & can[1](F.col("counts"), F.col("n2"))
+            q = rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), *also)
+            pairs = p.join(q, on).select(F.col("id").alias("a"), "b")
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -129,10 +129,9 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
     if members.isEmpty():
         return None if links.isEmpty() else components(links, "a", "b")
     # keys with more than one indexed line: their further pairs, for what is not yet in one component
-    ids = staged(members.select("id").distinct(), "ids")
-    counts = distinct.join(if_small(ids), "id", "left_semi").select("id", letter_counts(norm).alias("counts"))
+    counts = lambda ids: distinct.join(if_small(ids), "id", "left_semi").select("id", letter_counts(norm).alias("counts"))
     can = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d) <= 2 * edits
-    return linked(staged(members, "members"), verify, None, (pairs, links), (staged(counts, "counts"), can))
+    return linked(staged(members, "members"), verify, None, (pairs, links), (counts, can))
 
 
 def marked_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
