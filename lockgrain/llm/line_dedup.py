@@ -77,7 +77,8 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     A column of the distance matrix is held within the band of ``2 * edits + 1`` diagonals as two integers, one bit a
     row: where the value rises by one from the row above, and where it falls.  One step updates all rows of a column.
     The value on the main diagonal never falls, and exceeds the distance by ``edits`` at most: beyond that, no step is
-    made any more.
+    made any more.  What both texts begin or end with does not count and is cut off first, by comparing substrings of
+    falling powers of two, so that near copies take few steps.
     """
     width, mid = 2 * edits + 1, 1 << edits
     mask, top = (1 << width) - 1, 1 << (width - 1)
@@ -101,7 +102,13 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     below = " + ".join(["c.s", *(f"if(size(w.x) - size(w.y) >= {k}, (shiftright(c.p, {edits + k}) & 1L) - (shiftright(c.n, {edits + k}) & 1L), 0L)" for k in range(1, edits + 1))])
     columns = "if(size(w.y) = 0, cast(array() as array<int>), sequence(1, size(w.y)))"
     chars = lambda c: f"if({c} = '', cast(array() as array<string>), split({c}, ''))"
-    return F.expr(let("w", f"named_struct('x', {chars(longer)}, 'y', {chars(shorter)})", f"aggregate({columns}, {first}, (c, j) -> if(c.s > {2 * edits}L, c, {step}), c -> {below})"))
+    powers = f"array({', '.join(str(1 << k) for k in range(16, -1, -1))})"
+    common = lambda t: f"aggregate({powers}, 0, (p, k) -> if(substring({t}.x, p + 1, k) = substring({t}.y, p + 1, k), p + k, p))"
+    loop = let("w", f"named_struct('x', {chars('r.x')}, 'y', {chars('r.y')})", f"aggregate({columns}, {first}, (c, j) -> if(c.s > {2 * edits}L, c, {step}), c -> {below})")
+    # the distance of reversed texts is the same
+    loop = let("e", common("q"), let("r", "named_struct('x', substring(q.x, e + 1), 'y', substring(q.y, e + 1))", loop))
+    loop = let("b", common("o"), let("q", "named_struct('x', reverse(substring(o.x, b + 1)), 'y', reverse(substring(o.y, b + 1)))", loop))
+    return F.expr(let("o", f"named_struct('x', {longer}, 'y', {shorter})", loop))
 
 
 def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
@@ -111,7 +118,8 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
     probes = keys(probe_keys(norm, size, edits))
     index = keys(index_keys(norm, size, edits)).groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
     # a line's own segments are among its probes, so the probes of a key are all of its lines
-    hits = staged(probes.join(index, "key").where("id != c or c != z"), "hits")
+    # the indexed side has one row a key, so a table in memory serves and the probes need no sort
+    hits = staged(probes.join(index.hint("shuffle_hash"), "key").where("id != c or c != z"), "hits")
     release(distinct.sparkSession)
     pairs = staged(hits.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
 
@@ -134,33 +142,32 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
     return linked(staged(members, "members"), verify, None, (pairs, links), (counts, can))
 
 
-def marked_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _text, _drop): for each distinct (id, hash of the text) the flags of its lines, in order.
-
-    A flag is true if an equal line, or one of the same class, stands earlier in the order of (id, line number).
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _gone): for each distinct (id, hash of the text) with such lines, the sorted numbers of the lines
+    to which an equal line, or one of the same class, stands earlier in the order of (id, line number).
     """
     prepare(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(text_col, "\n")).alias("_line", "raw"))
-    norm = normal(F.col("raw"))
-    rows = rows.select("_id", "_text", "_line", norm.alias("norm")).withColumn("size", F.length("norm"))
-    hashed = rows.withColumns({"id": F.xxhash64("norm"), "check": F.xxhash64(F.lit(1), F.col("norm"))})
-    long_, short = hashed.where(F.col("size") >= least_chars), hashed.where(F.col("size") < least_chars)
+    rows = rows.select("_id", "_text", "_line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least_chars)
+    rows = rows.withColumns({"id": F.xxhash64("norm"), "check": F.xxhash64(F.lit(1), F.col("norm"))})
     place = F.struct("_id", "_line", "_text")
-    distinct = long_.groupBy("id", "check").agg(F.min(place).alias("first"), F.min("norm").alias("norm")).withColumn("size", F.length("norm"))
+    distinct = rows.groupBy("id", "check").agg(F.min(place).alias("first"), F.min("norm").alias("norm"), F.count("*").alias("times")).withColumn("size", F.length("norm"))
     distinct = staged(distinct, "lines")
     release(docs.sparkSession)
     classes = _classes(distinct.select("id", "norm", "size"), edits)
-    firsts = distinct.select("id", "check", "first")
+    firsts = distinct.select("id", "check", "first", "times")
     if classes is not None:
-        named = firsts.join(classes, firsts.id == classes.node)
+        named = firsts.join(if_small(classes), firsts.id == classes.node)
         heads = named.groupBy("component").agg(F.min("first").alias("head"))
         moved = staged(named.join(heads, "component").select("id", "check", "head"), "moved")
-        firsts = firsts.join(moved, ["id", "check"], "left").select("id", "check", F.coalesce("head", "first").alias("first"))
-    judged = long_.select("_id", "_text", "_line", "id", "check").join(firsts, ["id", "check"]).select("_id", "_text", "_line", (~place.eqNullSafe(F.col("first"))).alias("drop"))
-    every = judged.union(short.select("_id", "_text", "_line", F.lit(False)))
+        firsts = firsts.join(if_small(moved), ["id", "check"], "left")
+        firsts = firsts.where("times > 1 or head is not null").select("id", "check", F.coalesce("head", "first").alias("first"))
+    else:
+        firsts = firsts.where("times > 1").drop("times")
+    # all other lines stand once and are like no other: they are not looked at again
+    judged = rows.drop("norm").join(if_small(staged(firsts, "firsts")), ["id", "check"]).where(~place.eqNullSafe(F.col("first")))
     # rows that repeat a whole document give each of its lines more than once
-    flags = F.array_distinct(F.array_sort(F.collect_list(F.struct("_line", "drop"))))
-    return every.groupBy("_id", "_text").agg(F.transform(flags, lambda f: f["drop"]).alias("_drop"))
+    return judged.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -171,16 +178,18 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     has no lines; an empty one has one.  Rows with equal ids and texts are one document; null ids come first.  A
     document can become empty, but stays.  Input columns with an output's name are replaced.
     """
-    docs = without(docs, "n_lines", "n_dropped", "dropped_lines", "_id", "_text", "_drop")
-    marks = marked_lines(docs, edits, least_chars, id_col, text_col)
+    docs = without(docs, "n_lines", "n_dropped", "dropped_lines", "_id", "_text", "_gone", "_hash", "_lines")
+    gone = repeated_lines(docs, edits, least_chars, id_col, text_col)
     kept = [c for c in docs.columns if keep_text or c != text_col]
+    lines, n_lines = F.split(text_col, "\n"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    if not keep_text:
-        rows = rows.drop(text_col)
-    out = rows.join(marks, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
-    numbers = F.filter(F.transform("_drop", lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
-    added = [F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), F.coalesce(F.size(numbers), F.lit(0)).cast("long"), F.coalesce(numbers, F.array().cast("array<int>"))]
-    lines = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.coalesce(F.get("_drop", i), F.lit(False))) if keep_text else None
-    columns = [F.when(F.col(text_col).isNotNull(), F.array_join(lines, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
-    added = [F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(added[0]), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(added[1]), added[2]]
-    return out.select(*columns, *[a.alias(n) for a, n in zip(added, ("n_lines", "n_dropped", "dropped_lines"), strict=True)])
+    rows = rows if keep_text else rows.withColumn("n_lines", F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")).drop(text_col)
+    out = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
+    if keep_text:
+        out = out.withColumn("_lines", lines).withColumn("n_lines", F.when(F.col(text_col).isNotNull(), n_lines).otherwise(0))
+        # what stands between two dropped lines, before the first and after the last
+        before = F.concat(F.array(F.lit(-1)), "_gone")
+        between = F.transform(F.concat("_gone", F.array(F.size("_lines"))), lambda end, i: F.slice("_lines", F.get(before, i) + 2, end - F.get(before, i) - 1))
+        text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(between), "\n"))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    return out.select(*columns, "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped_lines"))
