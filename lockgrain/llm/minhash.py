@@ -22,8 +22,8 @@ from lockgrain.llm.common import arrow_schema, if_small, prepare, staged
 
 BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
-#: Low bits are packed by place: BITS integers for each 64 minima.
-WORDS = -(-MINIMA // 64)
+#: Minima and low bits of the longer signature that is made only for what is still open in the last round.
+LONG_MINIMA, LONG_BITS = 640, 2
 #: Standard errors by which an estimate may fall short of the threshold and still be confirmed.
 #: At the threshold this loses about as few pairs (3 in a million) as the bands do.
 SLACK = 4.5
@@ -35,6 +35,8 @@ _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 _a = _rng.integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
 _b = _rng.integers(0, 2**64, MINIMA, np.uint64)
+_long_a = _rng.integers(0, 2**64, LONG_MINIMA, np.uint64) | np.uint64(1)
+_long_b = _rng.integers(0, 2**64, LONG_MINIMA, np.uint64)
 _BASE, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,13 +84,22 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(MINIMA, np.uint64(2**64 - 1), np.uint64)
+def minima(s: np.ndarray, a: np.ndarray = _a, b: np.ndarray = _b) -> np.ndarray:
+    out = np.full(len(a), np.uint64(2**64 - 1), np.uint64)
     for at in range(0, len(s), 2048):
-        np.minimum(out, (_mix(s[at : at + 2048])[:, None] * _a + _b).min(axis=0), out=out)
+        np.minimum(out, (_mix(s[at : at + 2048])[:, None] * a + b).min(axis=0), out=out)
     return out
 
 
+def packed(m: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of minima by place: ``bits`` integers for each 64 minima."""
+    words = -(-len(m) // 64)
+    planes = np.zeros((words * 64, bits), np.uint64)
+    planes[: len(m)] = (m[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
+    low = planes.reshape(words, 64, bits) << np.arange(64, dtype=np.uint64)[None, :, None]
+    return np.bitwise_or.reduce(low, axis=1).ravel().view(np.int64)
+
+
 def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and the packed low bits of the minima."""
     m = _mix(minima(s))
@@ -96,20 +107,24 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.arange(BANDS, dtype=np.uint64) * _BASE
     for r in range(ROWS):
         key = _mix(key * _M1 + rows[:, r])
-    planes = np.zeros((WORDS * 64, BITS), np.uint64)
-    planes[:MINIMA] = (m[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
-    low = planes.reshape(WORDS, 64, BITS) << np.arange(64, dtype=np.uint64)[None, :, None]
-    return key.view(np.int64), np.bitwise_or.reduce(low, axis=1).ravel().view(np.int64)
+    return key.view(np.int64), packed(m, BITS)
 
 
-def estimate(x: Column, y: Column) -> Column:
+def estimate(x: Column, y: Column, minima: int = MINIMA, bits: int = BITS) -> Column:
     """Similarity from the share of agreeing b-bit values, corrected for agreement by chance."""
     differing = F.lit(0)
-    for w in range(WORDS):  # few operations: a larger method would not be compiled to machine code
-        parts = [F.get(x, F.lit(w * BITS + k)).bitwiseXOR(F.get(y, F.lit(w * BITS + k))) for k in range(BITS)]
+    for w in range(-(-minima // 64)):  # few operations: a larger method would not be compiled to machine code
+        parts = [F.get(x, F.lit(w * bits + k)).bitwiseXOR(F.get(y, F.lit(w * bits + k))) for k in range(bits)]
         differing = differing + F.bit_count(reduce(Column.bitwiseOR, parts))
-    chance = 2.0**-BITS
-    return ((1 - differing / MINIMA) - chance) / (1 - chance)
+    chance = 2.0**-bits
+    return ((1 - differing / minima) - chance) / (1 - chance)
+
+
+def least_estimate(threshold: float, minima: int = MINIMA, bits: int = BITS) -> float:
+    """The estimate below which a pair of that similarity falls only by more than ``SLACK`` standard errors."""
+    chance = 2.0**-bits
+    agree = threshold * (1 - chance) + chance
+    return threshold - SLACK * float(np.sqrt(agree * (1 - agree) / minima)) / (1 - chance)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,14 +153,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_percent:
     made = staged(source.mapInArrow(sketches, schema), "sketches")
     usable = made.where("digest is not null and id is not null")
     first = staged(usable.groupBy("digest").agg(F.min("id").alias("rep")), "first")
-    reps = usable.join(first.select(F.col("rep").alias("id"), F.col("digest").alias("d")), "id").where("digest = d").select("id", "n", "bands", "low").dropDuplicates(["id"])
+    reps = usable.join(first.select(F.col("rep").alias("id"), F.col("digest").alias("d")), "id").where("digest = d").select("id", "digest", "n", "bands", "low").dropDuplicates(["id"])
     reps = staged(reps, "reps")
     rows = reps.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
     shared = rows.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
     members = staged(rows.join(if_small(staged(shared, "keys")), "key"), "members")
-    agree = threshold_percent / 100 * (1 - 2.0**-BITS) + 2.0**-BITS
-    error = float(np.sqrt(agree * (1 - agree) / MINIMA) / (1 - 2.0**-BITS))
-    least = threshold_percent / 100 - SLACK * error
+    least = least_estimate(threshold_percent / 100)
+    least_long = least_estimate(threshold_percent / 100, LONG_MINIMA, LONG_BITS)
     low = reps.select("id", "low")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -188,18 +202,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_percent:
                     of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(np.concatenate(sets).view(np.int64))], schema=arrow_schema(own_schema))
 
+        bits_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", longs)])
+
+        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = shingle_sets(batch.column(1).to_pylist(), shingle_words)
+                made = [packed(_mix(minima(s, _long_a, _long_b)), LONG_BITS) if len(s) else None for s in sets]
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()).cast(arrow_schema(bits_schema).field("digest").type), pa.array(made, arrow_schema(bits_schema).field("bits").type)], schema=arrow_schema(bits_schema))
+
         open_ = source.join(if_small(ids), "id", "left_semi")
+        bits = open_.mapInArrow(longer, bits_schema).dropDuplicates(["id", "digest"])
         own = open_.mapInArrow(single, own_schema).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
         # an id of several texts has no size of its own: nothing is taken off
         texts = open_.groupBy("id").agg(F.count("*").alias("texts"))
         shared = F.col("n") - F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
-        sized = reps.join(if_small(ids), "id", "left_semi").join(texts, "id").join(own, "id", "left")
+        sized = reps.join(if_small(ids), "id", "left_semi").join(texts, "id").join(own, "id", "left").join(bits, ["id", "digest"])
         high = shared * (100 + threshold_percent) / threshold_percent - F.col("n")
-        return sized.select("id", (F.col("n") * threshold_percent / 100 - 0.001).alias("low"), (high + 0.001).alias("high"), F.struct(F.col("n").alias("n"), shared.alias("shared"), F.col("low").alias("bits")).alias("counts"))
+        return sized.select("id", (F.col("n") * threshold_percent / 100 - 0.001).alias("low"), (high + 0.001).alias("high"), F.struct(F.col("n").alias("n"), shared.alias("shared"), "bits").alias("counts"))
 
     def can(x: Column, y: Column) -> Column:
         most = F.least(x["shared"], y["shared"])  # of the intersection
-        return (100 * most >= threshold_percent * (x["n"] + y["n"] - most)) & (estimate(x["bits"], y["bits"]) >= least)
+        return (100 * most >= threshold_percent * (x["n"] + y["n"] - most)) & (estimate(x["bits"], y["bits"], LONG_MINIMA, LONG_BITS) >= least_long)
 
     classes = linked(members, verify, threshold_percent / 100, None, (measures, can))
     # every document by the first one with its set, and that one by its component
