@@ -58,19 +58,30 @@ def index_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]
     return out
 
 
-def probe_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """Keys of the substrings that can equal a segment of a line that is up to ``edits`` shorter."""
+def probe_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of the substrings that can equal a segment of a line that is up to ``edits`` shorter."""
     out = []
     for less in range(edits + 1):
-        other = length - less
         for i in range(1, edits + 2):
-            start, size = _segment(i, other, edits + 1)
             after = edits + 1 - i  # segments behind this one, and so edits that may be there
-            for shift in range(max(1 - i, less - after), min(i - 1, less + after) + 1):
-                out.append(_key(i, other, F.substring(norm, start + shift, size)))
+            out += [(less, i, shift) for shift in range(max(1 - i, less - after), min(i - 1, less + after) + 1)]
     return out
 
 
+def probe_keys(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, id, size) of all probes of the lines (id, norm, size).
+
+    One expression serves all places: one for each would make a method too large to be compiled to machine code.
+    """
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("less", "i", "shift"), strict=True)]) for place in probe_places(edits)])
+    rows = distinct.select("id", "norm", "size", F.explode(places).alias("p")).select("id", "norm", "size", "p.*")
+    i, other = F.col("i"), F.col("size") - F.col("less")
+    base = F.floor(other / (edits + 1)).cast("int")
+    short = edits + 1 - (other % (edits + 1))
+    start, length = 1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + F.col("shift"), base + (i > short).cast("int")
+    return rows.select(F.xxhash64(i, other.cast("int"), F.substring("norm", start, length)).alias("key"), "id", "size")
+
+
 def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     """Edit distance of two texts (names of columns; the first is not the shorter one) if it is ``edits`` at most, else more than that.
 
@@ -115,7 +126,7 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
     """(node, component) of the distinct lines (id, norm, size) that link with another."""
     norm, size = F.col("norm"), F.col("size")
     keys = lambda made: distinct.select(F.explode(F.array(*made)).alias("key"), "id", "size")
-    probes = keys(probe_keys(norm, size, edits))
+    probes = probe_keys(distinct, edits)
     index = keys(index_keys(norm, size, edits)).groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
     # a line's own segments are among its probes, so the probes of a key are all of its lines
     # the indexed side has one row a key, so a table in memory serves and the probes need no sort
