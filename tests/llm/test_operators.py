@@ -58,6 +58,18 @@ def test_quality_edges(spark, odd, none):
     assert not fertility.verdict(noise, "en", fertility.fertility(noise, [3] * 1600, frozenset([3])))
 
 
+def test_bands_part_clean_from_low_quality(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = fertility.measure(docs, path, keep_text=False).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    share = {q: sum(r.kept for r in got if r.quality == q) / sum(r.quality == q for r in got) for q in (0, 1)}
+    assert share[0] < 0.4 and share[1] > 0.95, share
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    rows = fertility.measure(spark.createDataFrame([(1, noise, "en"), (2, noise, "fr"), (3, noise, None)], "doc_id long, text string, lang string"), path).collect()
+    assert not any(r["base_failed"] or r["kept"] for r in rows)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 8))
