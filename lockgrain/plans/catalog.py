@@ -194,20 +194,32 @@ def obfuscation_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrays(spark, sf_dir)
 
 
-def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 300).cast("string"))
+def _arrays(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    values = F.transform("embedding" if whole else F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 300).cast("string"))
     rendered = F.concat(F.lit("var data = ["), F.array_join(values, ", "), F.lit("];"))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.explode(signals.numeric_arrays(rendered)).alias("a")).select("vec_id", "a.pattern", "a.n")
 
 
 @query(_PATTERNS + """, g AS (SELECT vec_id % 40 AS file, vec_id % 2 AS s, n FROM f), t AS (SELECT file // 2 AS file, s, CAST(count(*) AS INTEGER) AS n FROM g GROUP BY 1, 2)
 SELECT n.file, 'numeric-byte-array' AS pattern, n.n, o.n AS n_before, CASE WHEN o.n IS NULL THEN 'added' ELSE 'changed' END AS change FROM t n LEFT JOIN t o ON o.file = n.file AND o.s = 0 WHERE n.s = 1 AND (o.n IS NULL OR o.n < n.n)""")
-def pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pattern_growth(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Patterns of a file that are new or grew."""
-    t = _arrays(spark, sf_dir).groupBy(F.floor((F.col("vec_id") % 40) / 2).cast("long").alias("file"), (F.col("vec_id") % 2).alias("s"), "pattern").agg(F.count("*").cast("int").alias("n"))
+    t = _arrays(spark, sf_dir, whole).groupBy(F.floor((F.col("vec_id") % 40) / 2).cast("long").alias("file"), (F.col("vec_id") % 2).alias("s"), "pattern").agg(F.count("*").cast("int").alias("n"))
     return signals.grown_patterns(t.where("s = 0"), t.where("s = 1").drop("s"), ["file"])
 
 
+@query(ORACLE_SQL["obfuscation_arrays"].replace("embedding[1:16]", "embedding"))
+def obfuscation_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As obfuscation_arrays, of whole vectors."""
+    return _arrays(spark, sf_dir, whole=True)
+
+
+@query(ORACLE_SQL["pattern_growth"].replace("embedding[1:16]", "embedding"))
+def pattern_growth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pattern_growth, of whole vectors."""
+    return pattern_growth(spark, sf_dir, whole=True)
+
+
 _GAINS = f"""
 WITH e AS (SELECT user_id, event_type, {KIND_SQL} AS kind, ts < TIMESTAMP '2024-01-15' AS was, CAST(floor(value) AS BIGINT) AS v, event_id FROM events),
 o AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE was AND event_id % 3 = 0 GROUP BY 1, 2), n AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE NOT was GROUP BY 1, 2),
@@ -339,6 +351,15 @@ def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 240).alias("snippet"), text.escape_markdown(F.substring("text", 1, 60)).alias("escaped"))
 
 
+@query(r"""
+SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END AS snippet, CASE WHEN text = '' THEN '' ELSE list_aggregate(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE
+WHEN regexp_matches(c, '^[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2069}\x{FEFF}]$') THEN '\u' || lpad(hex(unicode(c)), 4, '0')
+WHEN regexp_matches(c, '^[&<>`*_{}\[\]()#+!|\\~@-]$') THEN '&#' || unicode(c) || ';' ELSE c END), 'string_agg', '') END AS escaped FROM documents""")
+def truncate_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As truncate_text, with the whole text made inert."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 240).alias("snippet"), text.escape_markdown(F.col("text")).alias("escaped"))
+
+
 @query("""
 WITH p AS (SELECT page_id, lower(replace(url, '/en/', '/.SSH/')) || CASE WHEN page_id % 9 = 0 THEN '/.env.local' WHEN page_id % 9 = 1 THEN '/.env.sample' ELSE '' END AS path FROM pages)
 SELECT page_id, len(list_filter(string_split(path, '/'), lambda s: s IN ('.ssh', '.npmrc', '.env') OR (s LIKE '.env.%' AND s <> '.env.sample'))) > 0 AS sensitive FROM p""")
