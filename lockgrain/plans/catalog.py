@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Snapshots are cut at this time.
 CUT = "1997-01-01"
+#: And where all earlier events are the old side: both added and changed slots remain.
+WHOLE_CUT = "2024-01-04"
 #: Kinds that stand for event types, in the order of their sorted names.
 KIND_SQL = "CASE event_type WHEN 'purchase' THEN 'NET' WHEN 'login' THEN 'ENV' WHEN 'logout' THEN 'OBFUSCATION' WHEN 'click' THEN 'INSTALL_HOOK' WHEN 'view' THEN 'PROCESS' ELSE 'DYNAMIC_CODE' END"
 SEVERITY_SQL = "CASE kind WHEN 'INSTALL_HOOK' THEN 'CRITICAL' WHEN 'DYNAMIC_CODE' THEN 'CRITICAL' WHEN 'NET' THEN 'HIGH' WHEN 'PROCESS' THEN 'HIGH' WHEN 'ENV' THEN 'MEDIUM' ELSE 'MEDIUM' END"
@@ -227,27 +230,28 @@ g AS (SELECT n.user_id, n.kind, n.v, o.v AS previous, CASE WHEN o.user_id IS NUL
 s AS (SELECT *, {SEVERITY_SQL} AS severity FROM g)"""
 
 
-def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("user_id", F.expr(KIND_SQL).alias("kind"), (F.col("ts") < F.lit("2024-01-15").cast("timestamp")).alias("was"), F.floor("value").cast("long").alias("v"), "event_id")
+def _gains(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    cut, old = (WHOLE_CUT, "was") if whole else ("2024-01-15", "was and event_id % 3 = 0")
+    e = read(spark, sf_dir, "events").select("user_id", F.expr(KIND_SQL).alias("kind"), (F.col("ts") < F.lit(cut).cast("timestamp")).alias("was"), F.floor("value").cast("long").alias("v"), "event_id")
     last = lambda d: d.groupBy("user_id", "kind").agg(F.max_by("v", "event_id").alias("v"))
-    found = caps.gains(last(e.where("was and event_id % 3 = 0")), last(e.where("not was")), ["user_id", "kind"], "v")
+    found = caps.gains(last(e.where(old)), last(e.where("not was")), ["user_id", "kind"], "v")
     severity = F.when(F.col("kind") == "OBFUSCATION", "MEDIUM").otherwise(caps.fallback(F.col("kind"), F.lit("registry-install")))
     return found.withColumn("severity", severity)
 
 
 @query(_GAINS + " SELECT user_id, kind, v, previous, change, severity FROM s")
-def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def slot_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Capability slots that were added or changed, with their fallback severity."""
-    return _gains(spark, sf_dir)
+    return _gains(spark, sf_dir, whole)
 
 
 @query(_GAINS + """, f AS (SELECT user_id AS pkg, bool_or(kind = 'NET') AND bool_or(kind = 'ENV') AS exfil, bool_or(kind = 'OBFUSCATION') AND bool_or(kind IN ('PROCESS', 'DYNAMIC_CODE')) AS obf, count(*) FILTER (kind IN ('NET', 'ENV')) AS ne, count(*) FILTER (kind IN ('OBFUSCATION', 'PROCESS', 'DYNAMIC_CODE')) AS no FROM s GROUP BY 1)
 SELECT user_id AS pkg, 'install-code-execution' AS rule, 1 AS participants FROM s WHERE kind IN ('NET', 'PROCESS', 'ENV') AND v % 2 = 0
 UNION ALL SELECT pkg, 'secret-exfiltration', ne FROM f WHERE exfil UNION ALL SELECT pkg, 'obfuscated-execution', no FROM f WHERE obf
 UNION ALL SELECT user_id, 'install-hook-change', 1 FROM s WHERE kind = 'INSTALL_HOOK' AND v % 3 > 0 UNION ALL SELECT user_id, 'dynamic-or-native-code', 1 FROM s WHERE kind = 'DYNAMIC_CODE'""")
-def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape_rules(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Combination rules over a package's gains."""
-    g = _gains(spark, sf_dir).select(F.col("user_id").alias("pkg"), "kind", F.when(F.col("v") % 2 == 0, "install-script").otherwise("runtime").alias("location"), F.when(F.col("v") % 3 > 0, "registry-install").otherwise("git-only").alias("applicability"))
+    g = _gains(spark, sf_dir, whole).select(F.col("user_id").alias("pkg"), "kind", F.when(F.col("v") % 2 == 0, "install-script").otherwise("runtime").alias("location"), F.when(F.col("v") % 3 > 0, "registry-install").otherwise("git-only").alias("applicability"))
     return caps.shapes(g)
 
 
@@ -255,15 +259,15 @@ _COUNT_SQL = ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s.lower()}" fo
 
 
 @query(_GAINS + f" SELECT user_id, {_COUNT_SQL} FROM s GROUP BY 1")
-def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def severity_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Findings of each severity by package."""
-    return caps.severity_counts(_gains(spark, sf_dir), "user_id")
+    return caps.severity_counts(_gains(spark, sf_dir, whole), "user_id")
 
 
 @query(_GAINS + f" SELECT count(DISTINCT user_id) AS packages, count(*) AS findings, {_COUNT_SQL} FROM s")
-def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_totals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Totals of a run over its packages' counts."""
-    by = severity_counts(spark, sf_dir)
+    by = severity_counts(spark, sf_dir, whole)
     names = [f"n_{s.lower()}" for s in caps.SEVERITIES]
     every = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return by.agg(F.count("*").alias("packages"), F.sum(every).alias("findings"), *[F.sum(n).alias(n) for n in names])
@@ -275,9 +279,9 @@ _WEIGHED = _GAINS + ", w AS (SELECT severity, CASE WHEN user_id % 7 = 0 THEN 0 E
 @query(_WEIGHED + """ SELECT CAST(coalesce(sum(weight) FILTER (severity IN ('CRITICAL', 'HIGH')), 0) AS BIGINT) AS matches,
 CASE WHEN sum(weight) FILTER (severity = 'CRITICAL') > 0 THEN 'CRITICAL' WHEN sum(weight) FILTER (severity = 'HIGH') > 0 THEN 'HIGH' WHEN sum(weight) FILTER (severity = 'MEDIUM') > 0 THEN 'MEDIUM' ELSE 'INFO' END AS highest,
 coalesce(sum(weight) FILTER (severity IN ('CRITICAL', 'HIGH')), 0) > 0 AS failed FROM w""")
-def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Inclusive count down to a threshold; suppressed findings weigh nothing, lockfile facts count as well."""
-    w = _gains(spark, sf_dir).select("severity", F.when(F.col("user_id") % 7 == 0, 0).otherwise(1).alias("weight"))
+    w = _gains(spark, sf_dir, whole).select("severity", F.when(F.col("user_id") % 7 == 0, 0).otherwise(1).alias("weight"))
     facts = read(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "HIGH").otherwise("INFO").alias("severity"), F.lit(1).alias("weight"))
     return caps.gate(w.union(facts), "HIGH")
 
@@ -303,9 +307,15 @@ def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_GAINS + """ SELECT user_id, kind, severity FROM s ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, user_id, kind LIMIT 10""")
-def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_findings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The ten gravest findings in their total order (a top-k report)."""
-    return _gains(spark, sf_dir).select("user_id", "kind", "severity").orderBy(caps.rank(F.col("severity")), "user_id", "kind").limit(10)
+    return _gains(spark, sf_dir, whole).select("user_id", "kind", "severity").orderBy(caps.rank(F.col("severity")), "user_id", "kind").limit(10)
+
+
+# As the queries of the same names, with all events before WHOLE_CUT as the old side.
+for _f in (slot_diff, shape_rules, severity_counts, run_totals, gate, top_findings):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
+    ORACLE_SQL[f"{_f.__name__}_whole"] = ORACLE_SQL[_f.__name__].replace(" AND event_id % 3 = 0", "").replace("2024-01-15", WHOLE_CUT)
 
 
 @query("""

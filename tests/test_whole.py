@@ -1,5 +1,7 @@
 """The queries over whole inputs see what the ones with a cut do not."""
 
+from datetime import datetime
+
 from lockgrain.plans import catalog
 
 
@@ -19,3 +21,10 @@ def test_whole_text_is_escaped(spark, tmp_path):
     rows = [(1, "a" * 3000 + "<b>​\r\n😀*"), (2, ""), (3, None)]
     got = {r.doc_id: r.escaped for r in run(spark, tmp_path, "truncate_text_whole", documents=(rows, "doc_id long, text string"))}
     assert got == {1: "a" * 3000 + "&#60;b&#62;\\u200B\\u000D\n😀&#42;", 2: "", 3: None}
+
+
+def test_all_old_events_count(spark, tmp_path):
+    old, new = datetime(2024, 1, 2), datetime(2024, 1, 20)
+    rows = [(1, 1, "view", old, 5.0), (2, 1, "view", new, 5.0), (3, 2, "view", old, 7.0), (4, 2, "view", old, 8.0), (5, 2, "view", new, 9.0), (6, 3, "view", new, 1.0)]
+    got = run(spark, tmp_path, "slot_diff_whole", events=(rows, "event_id long, user_id long, event_type string, ts timestamp, value double"))
+    assert sorted((r.user_id, r.v, r.previous, r.change) for r in got) == [(2, 9, 8, "changed"), (3, 1, None, "added")]
