@@ -296,16 +296,31 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.suppress(docs.where("n_chars > 500").select("doc_id", "source"), allow, ["source"]).select("doc_id", "source", "suppression")
 
 
+@query("""
+WITH a AS (SELECT doc_id, min('reviewed, quality ' || quality) AS j FROM labels GROUP BY 1)
+SELECT d.doc_id, d.source, a.j AS suppression FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""")
+def suppression_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As suppression, with all documents as findings and all labels as allowances."""
+    allow = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("reviewed, quality "), F.col("quality").cast("string")).alias("justification"))
+    return caps.suppress(read(spark, sf_dir, "documents").select("doc_id", "source"), allow, ["doc_id"]).select("doc_id", "source", "suppression")
+
+
 @query("""
 WITH r AS (SELECT p_brand AS target, list_sort(list(CAST(p_partkey AS VARCHAR))) AS l FROM part WHERE p_size < 10 GROUP BY 1)
 SELECT p.p_partkey AS id, p.p_brand AS target, coalesce(array_to_string(r.l, ','), '') AS links FROM part p LEFT JOIN r ON r.target = p.p_brand""")
-def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cross_links(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Dependency findings with the sorted ids of the reports about their target."""
     part = read(spark, sf_dir, "part")
-    found = caps.cross_links(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("target")), part.where("p_size < 10").select(F.col("p_brand").alias("package"), F.col("p_partkey").cast("string").alias("report_id")))
+    found = caps.cross_links(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("target")), (part if whole else part.where("p_size < 10")).select(F.col("p_brand").alias("package"), F.col("p_partkey").cast("string").alias("report_id")))
     return found.select("id", "target", F.array_join("links", ",").alias("links"))
 
 
+@query(ORACLE_SQL["cross_links"].replace(" WHERE p_size < 10", ""))
+def cross_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cross_links, with all parts as reports."""
+    return cross_links(spark, sf_dir, whole=True)
+
+
 @query(_GAINS + """ SELECT user_id, kind, severity FROM s ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, user_id, kind LIMIT 10""")
 def top_findings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The ten gravest findings in their total order (a top-k report)."""

@@ -28,3 +28,15 @@ def test_all_old_events_count(spark, tmp_path):
     rows = [(1, 1, "view", old, 5.0), (2, 1, "view", new, 5.0), (3, 2, "view", old, 7.0), (4, 2, "view", old, 8.0), (5, 2, "view", new, 9.0), (6, 3, "view", new, 1.0)]
     got = run(spark, tmp_path, "slot_diff_whole", events=(rows, "event_id long, user_id long, event_type string, ts timestamp, value double"))
     assert sorted((r.user_id, r.v, r.previous, r.change) for r in got) == [(2, 9, 8, "changed"), (3, 1, None, "added")]
+
+
+def test_all_documents_and_labels_join(spark, tmp_path):
+    docs = [(1, "src0", "en", 100), (2, "src0", "en", 900), (3, "src1", "de", 900)]
+    got = run(spark, tmp_path, "suppression_whole", documents=(docs, "doc_id long, source string, lang string, n_chars long"), labels=([(1, 0), (3, 1)], "doc_id long, quality int"))
+    assert sorted((r.doc_id, r.suppression or "") for r in got) == [(1, "reviewed, quality 0"), (2, ""), (3, "reviewed, quality 1")]
+
+
+def test_all_parts_are_links(spark, tmp_path):
+    rows = [(1, "A", 50), (2, "A", 3), (3, "B", 40)]
+    got = run(spark, tmp_path, "cross_links_whole", part=(rows, "p_partkey long, p_brand string, p_size int"))
+    assert sorted((r.id, r.links) for r in got) == [(1, "1,2"), (2, "1,2"), (3, "3")]
