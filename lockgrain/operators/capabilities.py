@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lockgrain.functions import text
+
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 #: Severity of a gained capability when no combination rule applies.
 FALLBACK = {
@@ -62,6 +64,7 @@ def gains(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFr
 
 #: Rules over a package's gains, each CRITICAL, in the order in which they are reported.
 RULES = ["install-code-execution", "secret-exfiltration", "obfuscated-execution", "install-hook-change", "dynamic-or-native-code"]
+RULES_SEVERITY = "CRITICAL"
 
 
 def shapes(findings: DataFrame, pkg: str = "pkg") -> DataFrame:
@@ -90,6 +93,31 @@ def shapes(findings: DataFrame, pkg: str = "pkg") -> DataFrame:
     )
 
 
+def classified(findings: DataFrame, pkg: str = "pkg") -> DataFrame:
+    """The gains with the higher severity of their fallback and of the rules they take part in (all CRITICAL).
+
+    ``findings`` is that of ``shapes``.  Obfuscation signals count for the rules and are no gains, so they are not in
+    the result.
+    """
+    kind, w = F.col("kind"), Window.partitionBy(pkg)
+    has = lambda *k: F.max(kind.isin(*k)).over(w)
+    single = (kind.isin("NET", "PROCESS", "ENV", "FS_SENSITIVE") & (F.col("location") == "install-script")) | ((kind == "INSTALL_HOOK") & (F.col("applicability") == "registry-install")) | kind.isin("DYNAMIC_CODE", "NATIVE")
+    sent = kind.isin("NET", "ENV", "FS_SENSITIVE") & has("NET") & has("ENV", "FS_SENSITIVE")
+    hidden = kind.isin("PROCESS", "DYNAMIC_CODE") & has("OBFUSCATION")
+    severity = F.when(single | sent | hidden, RULES_SEVERITY).otherwise(fallback(kind, F.col("applicability")))
+    return findings.withColumn("severity", severity).where(kind != "OBFUSCATION")
+
+
+def attributed(detections: DataFrame, hooks: DataFrame) -> DataFrame:
+    """The detections (pkg, file and more) with location and hook: one row a hook of the package that runs the file.
+
+    ``hooks`` has pkg, hook and command.  Files that no hook runs by a literal ``node FILE`` have the location runtime.
+    """
+    run = hooks.select("pkg", "hook", text.node_entrypoint(F.col("command")).alias("file")).where("file is not null")
+    location = F.when(F.col("hook").isNull(), "runtime").otherwise("install-script")
+    return detections.join(run, ["pkg", "file"], "left").withColumn("location", location)
+
+
 def suppress(findings: DataFrame, allow: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the justification of an allowance; nothing is removed.  Of several allowances of one key the first text counts."""
     one = allow.groupBy(*keys).agg(F.min("justification").alias("suppression"))

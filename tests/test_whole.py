@@ -40,3 +40,22 @@ def test_all_parts_are_links(spark, tmp_path):
     rows = [(1, "A", 50), (2, "A", 3), (3, "B", 40)]
     got = run(spark, tmp_path, "cross_links_whole", part=(rows, "p_partkey long, p_brand string, p_size int"))
     assert sorted((r.id, r.links) for r in got) == [(1, "1,2"), (2, "1,2"), (3, "3")]
+
+
+def test_hook_files_and_raised_severities(spark):
+    from lockgrain.operators import capabilities as caps
+
+    hooks = [("p", "preinstall", "node ./a.js"), ("p", "postinstall", "node --no-warnings 'a.js' && echo"), ("p", "install", "node $X.js"), ("q", "install", "sh b.js; node b.js")]
+    found = [("p", "a.js", "PROCESS"), ("p", "b.js", "FS_READ"), ("q", "b.js", "ENV"), ("r", "c.js", "ENV"), ("r", "c.js", "NET"), ("s", "d.js", "PROCESS"), ("s", "d.js", "OBFUSCATION")]
+    rows = caps.attributed(spark.createDataFrame(found, "pkg string, file string, kind string"), spark.createDataFrame(hooks, "pkg string, hook string, command string")).selectExpr("*", "'registry-install' as applicability")
+    got = sorted((r.pkg, r.kind, r.location, r.hook or "", r.severity) for r in caps.classified(rows).collect())
+    assert got == [
+        ("p", "FS_READ", "runtime", "", "LOW"),
+        ("p", "PROCESS", "install-script", "postinstall", "CRITICAL"),
+        ("p", "PROCESS", "install-script", "preinstall", "CRITICAL"),
+        ("q", "ENV", "runtime", "", "MEDIUM"),
+        ("r", "ENV", "runtime", "", "CRITICAL"),
+        ("r", "NET", "runtime", "", "CRITICAL"),
+        ("s", "PROCESS", "runtime", "", "CRITICAL"),
+    ]
+    assert ("p", "install-code-execution", 1) in [tuple(r) for r in caps.shapes(rows).collect()]
