@@ -34,14 +34,16 @@ class Tokenizer:
     """Ids of a byte-level BPE vocabulary.
 
     ``json_path`` is the file of the ``tokenizers`` library.  Its twin ``rank_path`` holds the same vocabulary as ranks;
-    texts of Latin letters and ASCII go through the faster library of rank files, all others through the former.
+    texts of Latin letters and ASCII without an added token go through the faster library of rank files, all others
+    through the former.
     """
 
     def __init__(self, json_path: str, rank_path: str | None, pattern: str | None):
         from tokenizers import Tokenizer as Library
 
         self.full = Library.from_file(json_path)
-        self.full.encode_special_tokens = True
+        #: Their literals are tokens of their own, which the rank twin does not know.
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.fast = self.plain = None
         if rank_path:
             import base64
@@ -56,7 +58,7 @@ class Tokenizer:
             self.plain = re.compile("[\t\n\r\x20-\x7e¡-§©«®°±¶·»¿-ſ‐-―‘-‟…]*").fullmatch
 
     def encode(self, text: str) -> list[int]:
-        if self.fast and self.plain(text):
+        if self.fast and self.plain(text) and not any(t in text for t in self.added):
             return self.fast(text)
         return self.full.encode(text, add_special_tokens=False).ids
 

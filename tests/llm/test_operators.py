@@ -126,6 +126,18 @@ def test_packing(spark, odd, none):
     assert queries.packed(none).count() == 0
 
 
+def test_packing_equals_the_library_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    plain, tok = Tokenizer.from_file(path), packing.tokenizer(path, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for a in added:
+        for t in (f"end {a} start", f"{a}{a}", f"日本 {a}é", f"{a[:-1]} {a[1:]}", "no such token"):
+            assert tok.encode(t) == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_solver():
     rng = np.random.default_rng(3)
     for n in (0, 1, 50, 3000):
