@@ -2,7 +2,8 @@
 
 A bucket's rows are first checked against one of them, the centre, for a few rounds with changing centres; links join
 components.  A bucket whose rows are all in one component is done, so a large group of near copies costs as many
-checks as it has rows.  Only what is left, pairs in different components of one bucket, is then checked pair by pair.
+checks as it has rows.  Only what is left, pairs in different components of one bucket, goes to a search of the
+caller's own, which sifts them before any pair is written.
 """
 
 from __future__ import annotations
@@ -12,37 +13,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockgrain.llm.common import if_small, staged
+from lockgrain.llm.common import discard, staged
 from lockgrain.llm.components import components
 
 CENTRE_ROUNDS = 2
-#: Factor between sizes of neighbouring steps.
-STEP = 1.06
 
 
-def _step(size: Column) -> Column:
-    return F.floor(F.log(F.greatest(F.lit(1.0), size)) / F.log(F.lit(STEP))).cast("int")
-
-
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float | None = None, start: tuple[DataFrame, DataFrame] | None = None, can: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame | None:
-    """(node, component) of all ids with a link; None if there is no bucket to look at and no link.
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, start: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(node, component) of all ids with a link.
 
     ``members`` (key, id, size) is a written table whose buckets hold two ids or more; ``verify`` takes distinct pairs
-    (a < b) and returns those that link.  With ``size_ratio``, ids whose sizes differ by more than that factor cannot
-    link and are not paired.  ``start`` are pairs verified before and the links among them.
-    ``can`` makes a table (id, counts) for a written table of the ids that are still open, and has a condition on the
-    counts of both that all links meet: pairs that do not meet it are never formed.  Columns low and high of that table
-    bound the sizes of an id's partners more closely than ``size_ratio``.
+    (a < b) and returns those that link.  ``search`` gets the rows (key, id, size, component) that are still open after
+    the centres and returns pairs (a < b) of one key and different components, with every link among them.  Sizes for
+    which ``near`` is false cannot link.  ``start`` are pairs verified before and the links among them.
+    An empty table gives an empty table.
     """
     tested, links = start or (None, None)
     classes = staged(components(links, "a", "b"), "classes") if start else None
     for step in range(CENTRE_ROUNDS + 1):
-        rows = members
+        rows, before = members, classes
         if classes is not None:
             rows = rows.join(classes, rows.id == classes.node, "left").drop("node").withColumn("component", F.coalesce("component", "id"))
             open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
             rows = staged(rows.join(open_, "key"), "open")
             if rows.isEmpty():
+                discard(rows)
                 break
         else:
             rows = rows.withColumn("component", F.col("id"))
@@ -51,33 +46,21 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ra
             best = rows.groupBy("key").agg(F.min(order).alias("least"))
             hub = rows.join(best, "key").where(order == F.col("least")).groupBy("key").agg(F.min("id").alias("c"), F.min("component").alias("cc"), F.min("size").alias("cs"))
             pairs = rows.join(hub, "key").where("id != c and component != cc")
-            near = (F.greatest("size", "cs") * size_ratio <= F.least("size", "cs")) if size_ratio else F.lit(True)
-            pairs = pairs.where(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+            if near:
+                pairs = pairs.where(near(F.col("size"), F.col("cs")))
+            pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
-            on = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2"))
-            if can:
-                counts = staged(can[0](staged(rows.select("id").distinct(), "ids")), "counts")
-                rows = rows.join(if_small(counts, 50_000), "id")
-            if size_ratio and "low" not in rows.columns:
-                rows = rows.withColumns({"low": F.col("size") * size_ratio, "high": F.col("size") / size_ratio})
-            p, also = rows, []
-            if size_ratio:  # sizes in steps: a row meets the rows in the steps of its range
-                p = rows.where("low <= high").withColumn("band", F.explode(F.sequence(_step(F.col("low") * 0.999), _step(F.col("high") * 1.001))))
-                also = [_step(F.col("size")).alias("b2"), F.col("size").alias("s2"), F.col("low").alias("l2"), F.col("high").alias("h2")]
-                on = on & (F.col("band") == F.col("b2")) & F.col("s2").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("l2"), F.col("h2"))
-            if can:
-                also.append(F.col("counts").alias("n2"))
-                on = on & can[1](F.col("counts"), F.col("n2"))
-            q = rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), *also)
-            pairs = p.join(q, on).select(F.col("id").alias("a"), "b")
+            pairs = search(rows)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        discard(rows)
         new = staged(verify(pairs), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if new.isEmpty() and links is not None:
             continue
         links = new if links is None else links.union(new)
         classes = staged(components(links, "a", "b"), "classes")
+        discard(before)
     return classes

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -15,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one Arrow batch: whole texts are long, so batches are kept short to bound a worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch, about: whole texts are long, so batches are kept short to bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\v\f\r"
 
@@ -38,27 +36,43 @@ def prepare(spark: SparkSession) -> str:
     env.setdefault("RAYON_NUM_THREADS", "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "lockgrain-shared")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    # one process alone, as in tests: its own folder is seen by all its threads
+    spark.conf.set("spark.checkpoint.dir", os.path.abspath("spark-warehouse/lockgrain-shared"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
     for spark, path in _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder's owner cleans it
             return
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables whose last reader has been staged itself."""
+    for df in tables:
+        entry = df is not None and (df.sparkSession, getattr(df, "staged_path", ""))
+        if entry and entry in _staged:
+            _staged.remove(entry)
+            _delete(*entry)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written.
 
-    The files go when the session's process ends.
+    The files go by ``discard``, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -66,7 +80,9 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -77,12 +93,6 @@ def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of results that are written by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.llm.buckets import linked
-from lockgrain.llm.common import if_small, prepare, release, staged, without
+from lockgrain.llm.common import discard, if_small, prepare, staged, without
 from lockgrain.llm.components import components
 
 #: Edits (insertions, deletions, substitutions) up to which lines are the same.
@@ -37,17 +37,20 @@ def _key(i: int, length: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(i), length.cast("int"), text)
 
 
-#: Letters that are counted together; all other characters are a group of their own.
-LETTERS = ["eq", "axj", "iz", "onk", "rtv", "slb", "ducw", "hmgfpy"]
+#: Words of 64 bits in the parity vector of a line's character pairs.
+PARITY_WORDS = 4
 
 
-def letter_counts(norm: Column) -> Column:
-    """How often each group of ``LETTERS`` occurs, then the rest: an edit changes their sum of differences by two at most."""
-    each = [F.length(norm) - F.length(F.translate(norm, group, "")) for group in LETTERS]
-    rest = F.length(norm)
-    for n in each:
-        rest = rest - n
-    return F.array(*each, rest)
+def parities(norm: str) -> Column:
+    """For each class of pairs of neighbouring characters, by a hash, whether the line holds an odd number of them.
+
+    An edit removes two pairs at most and adds two, so lines within t edits differ in 4 * t places at most, while a
+    replaced word changes about twice its length.
+    """
+    zero = f"array({', '.join(['0L'] * PARITY_WORDS)})"
+    flipped = ", ".join(f"if(p div 64 = {w}, v[{w}] ^ shiftleft(1L, cast(p % 64 as int)), v[{w}])" for w in range(PARITY_WORDS))
+    places = f"transform(sequence(1, size(c) - 1), i -> cast(pmod(hash(c[i - 1], c[i]), {64 * PARITY_WORDS}) as int))"
+    return F.expr(f"get(transform(array(split({norm}, '')), c -> if(size(c) < 2, {zero}, aggregate({places}, {zero}, (v, p) -> array({flipped})))), 0)")
 
 
 def index_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]:
@@ -69,11 +72,12 @@ def probe_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
 
 
 def probe_keys(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, id, size) of all probes of the lines (id, norm, size).
+    """(key, id, size) of all probes of the lines (id, norm, size) but those of their own segments in place.
 
     One expression serves all places: one for each would make a method too large to be compiled to machine code.
     """
-    places = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("less", "i", "shift"), strict=True)]) for place in probe_places(edits)])
+    others = [p for p in probe_places(edits) if p[0] or p[2]]
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("less", "i", "shift"), strict=True)]) for place in others])
     rows = distinct.select("id", "norm", "size", F.explode(places).alias("p")).select("id", "norm", "size", "p.*")
     i, other = F.col("i"), F.col("size") - F.col("less")
     base = F.floor(other / (edits + 1)).cast("int")
@@ -122,35 +126,53 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
     return F.expr(let("o", f"named_struct('x', {longer}, 'y', {shorter})", loop))
 
 
-def _classes(distinct: DataFrame, edits: int) -> DataFrame | None:
+def _classes(distinct: DataFrame, edits: int) -> DataFrame:
     """(node, component) of the distinct lines (id, norm, size) that link with another."""
     norm, size = F.col("norm"), F.col("size")
-    keys = lambda made: distinct.select(F.explode(F.array(*made)).alias("key"), "id", "size")
-    probes = probe_keys(distinct, edits)
-    index = keys(index_keys(norm, size, edits)).groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
-    # a line's own segments are among its probes, so the probes of a key are all of its lines
-    # the indexed side has one row a key, so a table in memory serves and the probes need no sort
-    hits = staged(probes.join(index.hint("shuffle_hash"), "key").where("id != c or c != z"), "hits")
-    release(distinct.sparkSession)
+    own = distinct.select(F.explode(F.array(*index_keys(norm, size, edits))).alias("key"), "id", "size")
+    index = own.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
+    shared = staged(index.where("c != z"), "shared")
+    hits = own.join(if_small(shared), "key").union(probe_keys(distinct, edits).join(index, "key").where("id != c or c != z"))
+    hits = staged(hits.select("key", "id", "size", "c", "z"), "hits")
     pairs = staged(hits.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return distinct.join(if_small(ids), "id", "left_semi").select("id", "norm", "size")
+
     def verify(pairs: DataFrame) -> DataFrame:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        texts = staged(distinct.join(if_small(ids), "id", "left_semi").select("id", "norm", "size"), "texts")
+        texts = staged(texts_of(ids), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("n")), "b")
         both = both.where(F.abs(F.col("m") - F.col("n")) <= edits)
         longer, shorter = F.when(F.col("m") >= F.col("n"), F.col("x")).otherwise(F.col("y")), F.when(F.col("m") >= F.col("n"), F.col("y")).otherwise(F.col("x"))
         both = both.select("a", "b", longer.alias("long"), shorter.alias("short"))
-        return both.where(distance("long", "short", edits) <= edits).select("a", "b")
-
-    links = staged(verify(pairs), "links")
-    members = hits.where("c != z").select("key", "id", "size").distinct()
-    if members.isEmpty():
-        return None if links.isEmpty() else components(links, "a", "b")
+        out = staged(both.where(distance("long", "short", edits) <= edits).select("a", "b"), "near")
+        discard(ids, texts)
+        return out
+
+    def search(open_: DataFrame) -> DataFrame:
+        """Pairs of one key whose parity vectors allow a link, each in the first key that both have."""
+        ids = staged(open_.groupBy("id").agg(F.collect_set("key").alias("keys")), "ids")
+        marked = staged(texts_of(ids.select("id")).select("id", parities("norm").alias("parity")).join(ids, "id"), "marked")
+        rows = open_.join(if_small(marked, 50_000), "id")
+        other = rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), F.col("size").alias("s2"), F.col("parity").alias("p2"), F.col("keys").alias("keys2"))
+        flips = F.lit(0)
+        for w in range(PARITY_WORDS):
+            flips = flips + F.bit_count(F.get("parity", F.lit(w)).bitwiseXOR(F.get("p2", F.lit(w))))
+        near = (F.abs(F.col("size") - F.col("s2")) <= edits) & (flips <= 4 * edits)
+        first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+        on = (F.col("key") == F.col("k2")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("c2")) & near & first
+        out = staged(rows.join(other, on).select(F.col("id").alias("a"), "b"), "open")
+        discard(ids, marked)
+        return out
+
+    links = verify(pairs)
+    members = staged(hits.where("c != z").select("key", "id", "size").distinct(), "members")
+    discard(hits, shared)
     # keys with more than one indexed line: their further pairs, for what is not yet in one component
-    counts = lambda ids: distinct.join(if_small(ids), "id", "left_semi").select("id", letter_counts(norm).alias("counts"))
-    can = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d) <= 2 * edits
-    return linked(staged(members, "members"), verify, None, (pairs, links), (counts, can))
+    out = linked(members, verify, search, lambda x, y: F.abs(x - y) <= edits, (pairs, links))
+    discard(members, pairs)
+    return out
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,25 +182,30 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     prepare(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(text_col, "\n")).alias("_line", "raw"))
     rows = rows.select("_id", "_text", "_line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least_chars)
-    rows = rows.withColumns({"id": F.xxhash64("norm"), "check": F.xxhash64(F.lit(1), F.col("norm"))})
+    rows = staged(rows.select("_id", "_text", "_line", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(1), F.col("norm")).alias("check"), "norm"), "lines")
+    often = staged(rows.groupBy("id").agg(F.count("*").alias("times"), F.min("check").alias("x"), F.max("check").alias("y")).where("times > 1").select("id", (F.col("x") != F.col("y")).alias("clash")), "often")
+    clash = often.where("clash").select("id", "clash")
+    if not clash.isEmpty():  # different lines of one hash get other names
+        rows = rows.join(if_small(clash), "id", "left").withColumn("id", F.when("clash", F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("clash")
+        often = staged(rows.groupBy("id").count().where("count > 1").select("id"), "often")
+    often = often.select("id")
+    # only lines that stand more than once are moved to find one of each
+    again = staged(rows.join(if_small(often), "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), "again")
+    distinct = rows.join(if_small(often), "id", "left_anti").select("id", "norm").union(again).withColumn("size", F.length("norm"))
+    classes = _classes(distinct, edits)
     place = F.struct("_id", "_line", "_text")
-    distinct = rows.groupBy("id", "check").agg(F.min(place).alias("first"), F.min("norm").alias("norm"), F.count("*").alias("times")).withColumn("size", F.length("norm"))
-    distinct = staged(distinct, "lines")
-    release(docs.sparkSession)
-    classes = _classes(distinct.select("id", "norm", "size"), edits)
-    firsts = distinct.select("id", "check", "first", "times")
-    if classes is not None:
-        named = firsts.join(if_small(classes), firsts.id == classes.node)
-        heads = named.groupBy("component").agg(F.min("first").alias("head"))
-        moved = staged(named.join(heads, "component").select("id", "check", "head"), "moved")
-        firsts = firsts.join(if_small(moved), ["id", "check"], "left")
-        firsts = firsts.where("times > 1 or head is not null").select("id", "check", F.coalesce("head", "first").alias("first"))
-    else:
-        firsts = firsts.where("times > 1").drop("times")
+    known = staged(often.select("id").union(classes.select("node")).distinct(), "known")
+    firsts = staged(rows.join(if_small(known), "id", "left_semi").groupBy("id").agg(F.min(place).alias("first")), "firsts")
+    named = firsts.join(if_small(classes), firsts.id == classes.node)
+    heads = named.groupBy("component").agg(F.min("first").alias("head"))
+    moved = staged(named.join(heads, "component").select("id", "head"), "moved")
+    firsts = staged(firsts.join(if_small(moved), "id", "left").select("id", F.coalesce("head", "first").alias("first")), "firsts")
     # all other lines stand once and are like no other: they are not looked at again
-    judged = rows.drop("norm").join(if_small(staged(firsts, "firsts")), ["id", "check"]).where(~place.eqNullSafe(F.col("first")))
+    judged = rows.select("_id", "_text", "_line", "id").join(if_small(firsts), "id").where(~place.eqNullSafe(F.col("first")))
     # rows that repeat a whole document give each of its lines more than once
-    return judged.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
+    gone = staged(judged.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_line")).alias("_gone")), "gone")
+    discard(rows, again, known, moved, firsts)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
