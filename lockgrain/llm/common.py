@@ -69,14 +69,14 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(*entry)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written.
 
     The files go by ``discard``, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))

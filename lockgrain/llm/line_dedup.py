@@ -83,7 +83,10 @@ def probe_keys(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     base = F.floor(other / (edits + 1)).cast("int")
     short = edits + 1 - (other % (edits + 1))
     start, length = 1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + F.col("shift"), base + (i > short).cast("int")
-    return rows.select(F.xxhash64(i, other.cast("int"), F.substring("norm", start, length)).alias("key"), "id", "size")
+    # where each character is a byte, places are found without reading what stands before them
+    part = lambda c: F.xxhash64(i, other.cast("int"), F.substring(c, start, length))
+    key = F.when(F.octet_length("norm") == F.col("size"), part(F.col("norm").cast("binary"))).otherwise(part(F.col("norm")))
+    return rows.select(key.alias("key"), "id", "size")
 
 
 def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
@@ -182,7 +185,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     prepare(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(text_col, "\n")).alias("_line", "raw"))
     rows = rows.select("_id", "_text", "_line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least_chars)
-    rows = staged(rows.select("_id", "_text", "_line", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(1), F.col("norm")).alias("check"), "norm"), "lines")
+    rows = staged(rows.select("_id", "_text", "_line", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(1), F.col("norm")).alias("check"), "norm"), "lines", "snappy")
     often = staged(rows.groupBy("id").agg(F.count("*").alias("times"), F.min("check").alias("x"), F.max("check").alias("y")).where("times > 1").select("id", (F.col("x") != F.col("y")).alias("clash")), "often")
     clash = often.where("clash").select("id", "clash")
     if not clash.isEmpty():  # different lines of one hash get other names
