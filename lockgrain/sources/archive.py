@@ -79,7 +79,7 @@ def entries(data: bytes, only: str | None = None, max_entries: int = MAX_ENTRIES
         return [(p, tar.extractfile(found[p]).read()) for p in sorted(found) if only in (None, p)]
 
 
-def files(artifacts: DataFrame, id_col: str = "artifact", content: str = "content", only: str | None = None) -> DataFrame:
+def files(artifacts: DataFrame, id_col: str = "artifact", content: str = "content", only: str | None = None, max_entries: int = MAX_ENTRIES, max_bytes: int = MAX_BYTES, ratio: int = MAX_RATIO) -> DataFrame:
     """One row a regular file, or one with ``rejected`` for an archive that is not allowed.  Null contents give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def files(artifacts: DataFrame, id_col: str = "artifact", content: str = "conten
                 if not data.is_valid:
                     continue
                 try:
-                    rows = [(p, len(b), b, None) for p, b in entries(data.as_py(), only)]
+                    rows = [(p, len(b), b, None) for p, b in entries(data.as_py(), only, max_entries, max_bytes, ratio)]
                 except ValueError as e:
                     rows = [(None, None, None, str(e))]
                 if rows:

@@ -10,7 +10,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lockgrain.operators import capabilities as caps
-from lockgrain.sinks import report
 from lockgrain.sources import archive, jsscan, manifest
 
 
@@ -61,12 +60,21 @@ def test_any_bytes_are_rejected_or_read(data):
 
 
 def test_manifest():
-    text = '{\n "name": "@s/p", "version": "1.0.0",\n "scripts": {"postinstall": "echo test", "test": "x", "prepare": 3},\n "bin": "cli.js",\n "dependencies": {"a": "npm:@x/b@1", "c": "^1"},\n "engines": {"node": ">=18"}\n}'
+    line = '"scripts": {"postinstall": "echo test", "test": "x", "prepare": 3},'
+    text = '{\n "name": "@s/p", "version": "1.0.0",\n ' + line + '\n "bin": "cli.js",\n "dependencies": {"a": "npm:@x/b@1", "c": "^1"},\n "engines": {"node": ">=18"}\n}'
     found, faults = manifest.capabilities(text.encode(), "@s/p", "1.0.0")
-    assert [(c["kind"], c["key"]) for c in found] == [("INSTALL_HOOK", "postinstall"), ("COMMAND_ENTRYPOINT", "p"), ("DEPENDENCY", "a"), ("DEPENDENCY", "c"), ("RUNTIME_CONSTRAINT", "node")]
-    assert found[0]["value"] == hashlib.sha256(b"echo test").hexdigest()
-    assert found[0]["evidence"] == {"file": "package.json", "line": 3, "snippet": '"postinstall": "echo test"'}
-    assert found[2]["target"] == "@x/b" and [f["field"] for f in faults] == ["scripts.prepare"]
+    # in the order of the JSON text of kind and key, with the whole line as evidence
+    assert [(c["kind"], c["key"]) for c in found] == [("COMMAND_ENTRYPOINT", "p"), ("DEPENDENCY", "a"), ("DEPENDENCY", "c"), ("INSTALL_HOOK", "postinstall"), ("RUNTIME_CONSTRAINT", "node")]
+    assert found[3]["value"] == hashlib.sha256(b"echo test").hexdigest()
+    assert found[3]["evidence"] == {"file": "package.json", "line": 3, "snippet": line}
+    assert found[1]["target"] == "@x/b" and [f["field"] for f in faults] == ["scripts.prepare"]
+
+
+def test_evidence_window():
+    for at in (0, 50, 150, 480):
+        line = "  " + "a" * at + "TARGET" + "b" * (500 - at)
+        got = manifest.window(line, at + 2)
+        assert len(got) in (239, 240) and "TARGET" in got and got.startswith("…") == (at > 119) and got.endswith("…") == (at < 381)
 
 
 @pytest.mark.parametrize("bad", ['{"name": "p", "version": "1", "x": {"a": 1, "a": 2}}', '{"name": "p", "version": "1",}', '{"name": "p", /* */ "version": "1"}', '{"name": "q", "version": "1"}', "[]", "", '{"name": "p", "version": "1"} x'])
@@ -94,7 +102,7 @@ def test_manifest_errors(bad):
     ],
 )
 def test_script_capabilities(source, kinds):
-    assert sorted(k for k, _ in _every(source)) == sorted(kinds)
+    assert sorted(k for k, *_ in _every(source)) == sorted(kinds)
 
 
 def _every(source):
@@ -104,8 +112,8 @@ def _every(source):
 
 def test_script_states():
     assert jsscan.scan("a.js", b"function (")[0] == "unparseable"
-    assert jsscan.scan("a.js", b"\xff\xfe")[0] == "unparseable"
-    assert jsscan.scan("a.node", b"")[1] == [("NATIVE", 1)]
+    assert jsscan.scan("a.js", b"\xff\xfe")[0] == "unreadable"
+    assert jsscan.scan("a.node", b"")[1] == [("NATIVE", 1, "<native binary: a.node>")]
     assert jsscan.scan("a.d.ts", b"")[0] == "ignored" and jsscan.scan("a.ts", b"")[0] == "unsupported"
 
 
@@ -115,16 +123,6 @@ def test_any_text_is_scanned_or_reported(text):
     assert jsscan.scan("x.js", text.encode("utf-8", "replace"))[0] in ("parsed", "unparseable")
 
 
-def test_reports(spark):
-    df = spark.createDataFrame([("p", "HIGH", "NET", "a<b>"), ("q", "CRITICAL", "NATIVE", "x\u202ey"), ("r", "LOW", "ENV", "z")], "package string, severity string, kind string, detail string")
-    assert '"CRITICAL": 1' in report.to_json(df) and report.to_text(df).startswith("1 CRITICAL, 1 HIGH, 1 LOW")
-    body = report.to_markdown(df)
-    assert "&#60;" in body and "\u202e" not in body and body.index("CRITICAL** q") < body.index("HIGH** p")
-    assert '"ruleId": "native"' in report.to_sarif(df)
-    with pytest.raises(ValueError):
-        report.to_markdown(df, limit=10)
-
-
 def test_gate_counts(spark):
     rows = [("CRITICAL", 1), ("CRITICAL", 1), ("HIGH", 1), ("HIGH", 0), ("MEDIUM", 1), ("INFO", 1)]
     df = spark.createDataFrame(rows, "severity string, weight int")
