@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockgrain.functions import text
+from lockgrain import workers
+from lockgrain.functions import address
 
 #: Bytes, entropy and growth (thousandths of a bit) from which entropy is a signal.
 LEAST_BYTES, LEAST_ENTROPY, LEAST_RISE = 256, 6500, 1000
 SNIPPET = 240
 
-URL = r"""(?<![0-9A-Za-z_])(?:https?|wss?)://[^\s"'`<>\\]+"""
+URL = r"""(?<![0-9A-Za-z_])(?:https?|wss?)://[^\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"'`<>\\]+"""
 IPV4 = r"(?<![0-9A-Za-z_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_])"
-IPV6 = r"(?<![0-9A-Za-z_:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z_:])"
+IPV6 = r"(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}"
 ARRAY = r"\[[^\[\]]{1,4096}\]"
 
 
@@ -22,38 +25,61 @@ def lines(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     return files.select(*keys, F.posexplode(F.split(content, "\n")).alias("_n", "line_text")).select(*keys, (F.col("_n") + 1).alias("line"), "line_text")
 
 
-def endpoints(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Distinct external addresses (keys, endpoint_type, value) with their first line and number of places."""
+def endpoint_hits(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, line, endpoint_type, value) of every place of an external address.
+
+    Candidates are found by patterns in the JVM, in one pass over the lines; only these go to the reader that gives a
+    host the form browsers give it.  Null contents have no lines.
+    """
+    workers.prepare(files.sparkSession)
+    each = lambda name, pattern: F.transform(F.regexp_extract_all("line_text", F.lit(pattern), 0), lambda m: F.struct(F.lit(name).alias("pattern"), m.alias("raw")))
     rows = lines(files.where(F.col(content).isNotNull()), keys, content)
-    found = lambda kind, pattern: rows.select(*keys, "line", F.lit(kind).alias("endpoint_type"), F.explode(F.regexp_extract_all("line_text", F.lit(pattern), 0)).alias("raw"))
-    url_host = F.regexp_replace(F.regexp_replace(text.url_host(F.col("raw")), r":[0-9]+$", ""), r"^\[|\]$|\.$", "")
-    hosts = found("domain", URL).withColumn("value", url_host).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    hosts = hosts.withColumn("endpoint_type", F.when(text.valid_ipv4(F.col("value")), "ipv4").otherwise(F.col("endpoint_type")))
-    four = found("ipv4", IPV4).withColumn("value", F.col("raw")).where(text.valid_ipv4(F.col("raw")))
-    six = found("ipv6", IPV6).withColumn("value", F.lower("raw")).where(valid_ipv6(F.col("raw")))
-    every = hosts.unionByName(four).unionByName(six)
-    kind, value = F.col("endpoint_type"), F.col("value")
-    external = F.when(kind == "domain", text.external_domain(value)).when(kind == "ipv4", text.external_ipv4(value)).otherwise(text.external_ipv6(value))
-    return every.where(external).groupBy(*keys, "endpoint_type", "value").agg(F.min("line").alias("first_line"), F.countDistinct("line").alias("n_lines"))
-
-
-def valid_ipv6(s: Column) -> Column:
-    """Eight groups, or fewer with exactly one double colon."""
-    groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
-    double = s.contains("::")
-    once = ~s.contains(":::") & (F.length(s) - F.length(F.replace(s, F.lit("::"), F.lit(""))) == 2)
-    ends = (s.startswith("::") | ~s.startswith(":")) & (s.endswith("::") | ~s.endswith(":"))
-    return ends & F.when(double, once & (groups <= 7) & s.rlike("[0-9A-Fa-f]|^::$")).otherwise(groups == 8)
+    found = rows.select(*keys, "line", F.explode(F.concat(each("url", URL), each("ipv4", IPV4), each("ipv6", IPV6))).alias("hit"))
+
+    @F.pandas_udf("endpoint_type string, value string")
+    def read(pattern: pd.Series, raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([address.endpoint(p, r) or (None, None) for p, r in zip(pattern, raw, strict=True)], columns=["endpoint_type", "value"], dtype=object)
+
+    hits = found.withColumn("at", read("hit.pattern", "hit.raw")).select(*keys, "line", "at.endpoint_type", "at.value")
+    return hits.where("value is not null")
+
+
+def endpoints(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Distinct external addresses (keys, endpoint_type, value) with their first line and number of lines."""
+    return endpoint_hits(files, keys, content).groupBy(*keys, "endpoint_type", "value").agg(F.min("line").alias("first_line"), F.countDistinct("line").alias("n_lines"))
+
+
+def byte_entropy(text: Column) -> Column:
+    """Shannon entropy of the UTF-8 bytes in thousandths of a bit a byte; 0 for empty text, null for null."""
+
+    @F.pandas_udf("int")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else entropy(t.encode("utf-8", "surrogatepass")) for t in texts], dtype="Int32")
+
+    return measure(text)
+
+
+def entropy(data: bytes) -> int:
+    """The same of bytes; halves are rounded up."""
+    if not data:
+        return 0
+    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    p = n[n > 0] / len(data)
+    return int(np.floor(-(p * np.log2(p)).sum() * 1000 + 0.5))
+
+
+#: Least elements of a byte array that counts, and the names of its two notations.
+LEAST_ELEMENTS, HEX_ARRAY, NUMBER_ARRAY = 8, "hex-byte-array", "charcode-array"
 
 
 def numeric_arrays(content: Column) -> Column:
-    """Numeric arrays that may hide code: array of (pattern, n) for lists of 8 or more hex bytes, or numbers to 255."""
+    """Lists that may hide code: array of (pattern, n) for eight or more hex bytes, or numbers to 255."""
     found = F.regexp_extract_all(content, F.lit(ARRAY), 0)
     items = lambda s: F.filter(F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     hexed = lambda s: F.forall(items(s), lambda x: x.rlike(r"^0[xX][0-9A-Fa-f]{1,2}$"))
-    small = lambda s: F.forall(items(s), lambda x: x.rlike(r"^(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"))
-    one = lambda s: F.struct(F.when(hexed(s), "hex-byte-array").when(small(s), "numeric-byte-array").alias("pattern"), F.size(items(s)).alias("n"))
-    return F.filter(F.transform(found, one), lambda a: a["pattern"].isNotNull() & (a["n"] >= 8))
+    small = lambda s: F.forall(items(s), lambda x: x.rlike(r"^[0-9]{1,3}$") & (F.coalesce(x.try_cast("int"), F.lit(256)) <= 255))
+    one = lambda s: F.struct(F.when(hexed(s), HEX_ARRAY).when(small(s), NUMBER_ARRAY).alias("pattern"), F.size(items(s)).alias("n"))
+    return F.filter(F.transform(found, one), lambda a: a["pattern"].isNotNull() & (a["n"] >= LEAST_ELEMENTS))
 
 
 def new_endpoints(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,3 +104,11 @@ def unparseable_growth(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     """Groups whose unparseable bytes grew; only groups with an old side count."""
     total = lambda d, name: d.groupBy(group).agg(F.coalesce(F.sum(F.when(F.col("state") != "parsed", F.col("bytes"))), F.lit(0)).cast("long").alias(name))
     return total(new, "now").join(total(old, "before"), group).where("now > before")
+
+
+def newly_unparseable(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Files of ``new`` that no parser read, unless ``old`` has them unread in the same state and size; with ``change``."""
+    before = old.select(*keys, F.col("state").alias("state_before"), F.col("bytes").alias("bytes_before"))
+    joined = new.where("state <> 'parsed'").join(before, keys, "left")
+    known = (F.col("state_before") == F.col("state")) & (F.col("bytes_before") == F.col("bytes"))
+    return joined.where(~F.coalesce(known, F.lit(False))).withColumn("change", F.when(F.col("state_before").isNull(), "added").otherwise("changed"))

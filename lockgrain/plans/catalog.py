@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Snapshots are cut at this time.
 CUT = "1997-01-01"
-#: And where all earlier events are the old side: both added and changed slots remain.
-WHOLE_CUT = "2024-01-04"
+#: Events are cut at this time: both added and changed slots remain.
+EVENT_CUT = "2024-01-04"
 #: Kinds that stand for event types, in the order of their sorted names.
 KIND_SQL = "CASE event_type WHEN 'purchase' THEN 'NET' WHEN 'login' THEN 'ENV' WHEN 'logout' THEN 'OBFUSCATION' WHEN 'click' THEN 'INSTALL_HOOK' WHEN 'view' THEN 'PROCESS' ELSE 'DYNAMIC_CODE' END"
 SEVERITY_SQL = "CASE kind WHEN 'INSTALL_HOOK' THEN 'CRITICAL' WHEN 'DYNAMIC_CODE' THEN 'CRITICAL' WHEN 'NET' THEN 'HIGH' WHEN 'PROCESS' THEN 'HIGH' WHEN 'ENV' THEN 'MEDIUM' ELSE 'MEDIUM' END"
@@ -101,12 +100,12 @@ def source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, list_last(string_split(replace('node_modules/' || url, '/en/', '/node_modules/@en/'), 'node_modules/')) AS name, list_last(string_split(url, '/')) AS unscoped FROM pages""")
+WITH p AS (SELECT page_id, url, replace(url, '/en/', '/node_modules/@en/') AS path FROM pages)
+SELECT page_id, list_last(string_split(path, 'node_modules/')) AS name, list_last(string_split(url, '/')) AS unscoped FROM p WHERE contains(path, 'node_modules/')""")
 def path_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package names from installed paths, and names without their scope."""
-    path = F.concat(F.lit("node_modules/"), F.col("url"))
-    path = F.replace(path, F.lit("/en/"), F.lit("/node_modules/@en/"))
-    return read(spark, sf_dir, "pages").where(text.is_dependency_path(path) | F.lit(True)).select("page_id", text.name_from_path(path).alias("name"), text.unscoped(F.col("url")).alias("unscoped"))
+    """Package names from installed paths, and names without their scope; other paths are left out."""
+    path = F.replace(F.col("url"), F.lit("/en/"), F.lit("/node_modules/@en/"))
+    return read(spark, sf_dir, "pages").where(text.is_dependency_path(path)).select("page_id", text.name_from_path(path).alias("name"), text.unscoped(F.col("url")).alias("unscoped"))
 
 
 @query("""
@@ -165,7 +164,7 @@ h AS (SELECT doc_id, CAST(max(t) AS BIGINT) AS bytes, CAST(round(sum(-n / t * lo
 @query(_ENTROPY + " SELECT * FROM h")
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte entropy of whole documents in thousandths of a bit."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), text.byte_entropy(F.col("text")).alias("entropy"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), signals.byte_entropy(F.col("text")).alias("entropy"))
 
 
 @query(_ENTROPY + """
@@ -188,70 +187,57 @@ def unparseable_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATTERNS = """
-WITH a AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 300) AS BIGINT)) AS q FROM embeddings), f AS (SELECT vec_id, q, len(q) AS n FROM a WHERE list_max(q) <= 255 AND len(q) >= 8)"""
+WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 100) AS BIGINT)) AS q FROM embeddings), f AS (SELECT vec_id, q, len(q) AS n FROM a WHERE list_max(q) <= 255 AND len(q) >= 8)"""
 
 
-@query(_PATTERNS + " SELECT vec_id, 'numeric-byte-array' AS pattern, CAST(n AS INTEGER) AS n FROM f")
+@query(_PATTERNS + " SELECT vec_id, 'charcode-array' AS pattern, CAST(n AS INTEGER) AS n FROM f")
 def obfuscation_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long arrays of byte values in rendered text."""
     return _arrays(spark, sf_dir)
 
 
-def _arrays(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    values = F.transform("embedding" if whole else F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 300).cast("string"))
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("string"))
     rendered = F.concat(F.lit("var data = ["), F.array_join(values, ", "), F.lit("];"))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.explode(signals.numeric_arrays(rendered)).alias("a")).select("vec_id", "a.pattern", "a.n")
 
 
 @query(_PATTERNS + """, g AS (SELECT vec_id % 40 AS file, vec_id % 2 AS s, n FROM f), t AS (SELECT file // 2 AS file, s, CAST(count(*) AS INTEGER) AS n FROM g GROUP BY 1, 2)
-SELECT n.file, 'numeric-byte-array' AS pattern, n.n, o.n AS n_before, CASE WHEN o.n IS NULL THEN 'added' ELSE 'changed' END AS change FROM t n LEFT JOIN t o ON o.file = n.file AND o.s = 0 WHERE n.s = 1 AND (o.n IS NULL OR o.n < n.n)""")
-def pattern_growth(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+SELECT n.file, 'charcode-array' AS pattern, n.n, o.n AS n_before, CASE WHEN o.n IS NULL THEN 'added' ELSE 'changed' END AS change FROM t n LEFT JOIN t o ON o.file = n.file AND o.s = 0 WHERE n.s = 1 AND (o.n IS NULL OR o.n < n.n)""")
+def pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns of a file that are new or grew."""
-    t = _arrays(spark, sf_dir, whole).groupBy(F.floor((F.col("vec_id") % 40) / 2).cast("long").alias("file"), (F.col("vec_id") % 2).alias("s"), "pattern").agg(F.count("*").cast("int").alias("n"))
+    t = _arrays(spark, sf_dir).groupBy(F.floor((F.col("vec_id") % 40) / 2).cast("long").alias("file"), (F.col("vec_id") % 2).alias("s"), "pattern").agg(F.count("*").cast("int").alias("n"))
     return signals.grown_patterns(t.where("s = 0"), t.where("s = 1").drop("s"), ["file"])
 
 
-@query(ORACLE_SQL["obfuscation_arrays"].replace("embedding[1:16]", "embedding"))
-def obfuscation_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As obfuscation_arrays, of whole vectors."""
-    return _arrays(spark, sf_dir, whole=True)
-
-
-@query(ORACLE_SQL["pattern_growth"].replace("embedding[1:16]", "embedding"))
-def pattern_growth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As pattern_growth, of whole vectors."""
-    return pattern_growth(spark, sf_dir, whole=True)
-
-
 _GAINS = f"""
-WITH e AS (SELECT user_id, event_type, {KIND_SQL} AS kind, ts < TIMESTAMP '2024-01-15' AS was, CAST(floor(value) AS BIGINT) AS v, event_id FROM events),
-o AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE was AND event_id % 3 = 0 GROUP BY 1, 2), n AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE NOT was GROUP BY 1, 2),
+WITH e AS (SELECT user_id, event_type, {KIND_SQL} AS kind, ts < TIMESTAMP '{EVENT_CUT}' AS was, CAST(floor(value) AS BIGINT) AS v, event_id FROM events),
+o AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE was GROUP BY 1, 2), n AS (SELECT user_id, kind, arg_max(v, event_id) AS v FROM e WHERE NOT was GROUP BY 1, 2),
 g AS (SELECT n.user_id, n.kind, n.v, o.v AS previous, CASE WHEN o.user_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM n LEFT JOIN o ON o.user_id = n.user_id AND o.kind = n.kind WHERE o.user_id IS NULL OR o.v IS DISTINCT FROM n.v),
 s AS (SELECT *, {SEVERITY_SQL} AS severity FROM g)"""
 
 
-def _gains(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    cut, old = (WHOLE_CUT, "was") if whole else ("2024-01-15", "was and event_id % 3 = 0")
-    e = read(spark, sf_dir, "events").select("user_id", F.expr(KIND_SQL).alias("kind"), (F.col("ts") < F.lit(cut).cast("timestamp")).alias("was"), F.floor("value").cast("long").alias("v"), "event_id")
+def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", F.expr(KIND_SQL).alias("kind"), (F.col("ts") < F.lit(EVENT_CUT).cast("timestamp")).alias("was"), F.floor("value").cast("long").alias("v"), "event_id")
     last = lambda d: d.groupBy("user_id", "kind").agg(F.max_by("v", "event_id").alias("v"))
-    found = caps.gains(last(e.where(old)), last(e.where("not was")), ["user_id", "kind"], "v")
+    found = caps.gains(last(e.where("was")), last(e.where("not was")), ["user_id", "kind"], "v")
     severity = F.when(F.col("kind") == "OBFUSCATION", "MEDIUM").otherwise(caps.fallback(F.col("kind"), F.lit("registry-install")))
     return found.withColumn("severity", severity)
 
 
 @query(_GAINS + " SELECT user_id, kind, v, previous, change, severity FROM s")
-def slot_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capability slots that were added or changed, with their fallback severity."""
-    return _gains(spark, sf_dir, whole)
+    return _gains(spark, sf_dir)
 
 
 @query(_GAINS + """, f AS (SELECT user_id AS pkg, bool_or(kind = 'NET') AND bool_or(kind = 'ENV') AS exfil, bool_or(kind = 'OBFUSCATION') AND bool_or(kind IN ('PROCESS', 'DYNAMIC_CODE')) AS obf, count(*) FILTER (kind IN ('NET', 'ENV')) AS ne, count(*) FILTER (kind IN ('OBFUSCATION', 'PROCESS', 'DYNAMIC_CODE')) AS no FROM s GROUP BY 1)
 SELECT user_id AS pkg, 'install-code-execution' AS rule, 1 AS participants FROM s WHERE kind IN ('NET', 'PROCESS', 'ENV') AND v % 2 = 0
 UNION ALL SELECT pkg, 'secret-exfiltration', ne FROM f WHERE exfil UNION ALL SELECT pkg, 'obfuscated-execution', no FROM f WHERE obf
 UNION ALL SELECT user_id, 'install-hook-change', 1 FROM s WHERE kind = 'INSTALL_HOOK' AND v % 3 > 0 UNION ALL SELECT user_id, 'dynamic-or-native-code', 1 FROM s WHERE kind = 'DYNAMIC_CODE'""")
-def shape_rules(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combination rules over a package's gains."""
-    g = _gains(spark, sf_dir, whole).select(F.col("user_id").alias("pkg"), "kind", F.when(F.col("v") % 2 == 0, "install-script").otherwise("runtime").alias("location"), F.when(F.col("v") % 3 > 0, "registry-install").otherwise("git-only").alias("applicability"))
+    g = _gains(spark, sf_dir).select(F.col("user_id").alias("pkg"), "kind", F.when(F.col("v") % 2 == 0, "install-script").otherwise("runtime").alias("location"), F.when(F.col("v") % 3 > 0, "registry-install").otherwise("git-only").alias("applicability"))
     return caps.shapes(g)
 
 
@@ -259,15 +245,15 @@ _COUNT_SQL = ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s.lower()}" fo
 
 
 @query(_GAINS + f" SELECT user_id, {_COUNT_SQL} FROM s GROUP BY 1")
-def severity_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each severity by package."""
-    return caps.severity_counts(_gains(spark, sf_dir, whole), "user_id")
+    return caps.severity_counts(_gains(spark, sf_dir), "user_id")
 
 
 @query(_GAINS + f" SELECT count(DISTINCT user_id) AS packages, count(*) AS findings, {_COUNT_SQL} FROM s")
-def run_totals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run over its packages' counts."""
-    by = severity_counts(spark, sf_dir, whole)
+    by = severity_counts(spark, sf_dir)
     names = [f"n_{s.lower()}" for s in caps.SEVERITIES]
     every = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return by.agg(F.count("*").alias("packages"), F.sum(every).alias("findings"), *[F.sum(n).alias(n) for n in names])
@@ -279,58 +265,36 @@ _WEIGHED = _GAINS + ", w AS (SELECT severity, CASE WHEN user_id % 7 = 0 THEN 0 E
 @query(_WEIGHED + """ SELECT CAST(coalesce(sum(weight) FILTER (severity IN ('CRITICAL', 'HIGH')), 0) AS BIGINT) AS matches,
 CASE WHEN sum(weight) FILTER (severity = 'CRITICAL') > 0 THEN 'CRITICAL' WHEN sum(weight) FILTER (severity = 'HIGH') > 0 THEN 'HIGH' WHEN sum(weight) FILTER (severity = 'MEDIUM') > 0 THEN 'MEDIUM' ELSE 'INFO' END AS highest,
 coalesce(sum(weight) FILTER (severity IN ('CRITICAL', 'HIGH')), 0) > 0 AS failed FROM w""")
-def gate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusive count down to a threshold; suppressed findings weigh nothing, lockfile facts count as well."""
-    w = _gains(spark, sf_dir, whole).select("severity", F.when(F.col("user_id") % 7 == 0, 0).otherwise(1).alias("weight"))
+    w = _gains(spark, sf_dir).select("severity", F.when(F.col("user_id") % 7 == 0, 0).otherwise(1).alias("weight"))
     facts = read(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "HIGH").otherwise("INFO").alias("severity"), F.lit(1).alias("weight"))
     return caps.gate(w.union(facts), "HIGH")
 
 
-@query("""
-WITH a AS (SELECT DISTINCT source, min('reviewed ' || lang) OVER (PARTITION BY source) AS j FROM documents WHERE doc_id % 17 = 0 AND source <> 'src0')
-SELECT d.doc_id, d.source, a.j AS suppression FROM documents d LEFT JOIN a ON a.source = d.source WHERE d.n_chars > 500""")
-def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowances attach a justification to findings and remove none."""
-    docs = read(spark, sf_dir, "documents")
-    allow = docs.where("doc_id % 17 = 0 and source <> 'src0'").select("source", F.concat(F.lit("reviewed "), "lang").alias("justification"))
-    return caps.suppress(docs.where("n_chars > 500").select("doc_id", "source"), allow, ["source"]).select("doc_id", "source", "suppression")
-
-
 @query("""
 WITH a AS (SELECT doc_id, min('reviewed, quality ' || quality) AS j FROM labels GROUP BY 1)
 SELECT d.doc_id, d.source, a.j AS suppression FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""")
-def suppression_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As suppression, with all documents as findings and all labels as allowances."""
+def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowances (all labels) attach a justification to findings (all documents) and remove none."""
     allow = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("reviewed, quality "), F.col("quality").cast("string")).alias("justification"))
     return caps.suppress(read(spark, sf_dir, "documents").select("doc_id", "source"), allow, ["doc_id"]).select("doc_id", "source", "suppression")
 
 
 @query("""
-WITH r AS (SELECT p_brand AS target, list_sort(list(CAST(p_partkey AS VARCHAR))) AS l FROM part WHERE p_size < 10 GROUP BY 1)
+WITH r AS (SELECT p_brand AS target, list_sort(list(CAST(p_partkey AS VARCHAR))) AS l FROM part GROUP BY 1)
 SELECT p.p_partkey AS id, p.p_brand AS target, coalesce(array_to_string(r.l, ','), '') AS links FROM part p LEFT JOIN r ON r.target = p.p_brand""")
-def cross_links(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependency findings with the sorted ids of the reports about their target."""
     part = read(spark, sf_dir, "part")
-    found = caps.cross_links(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("target")), (part if whole else part.where("p_size < 10")).select(F.col("p_brand").alias("package"), F.col("p_partkey").cast("string").alias("report_id")))
+    found = caps.cross_links(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("target")), part.select(F.col("p_brand").alias("package"), F.col("p_partkey").cast("string").alias("report_id")))
     return found.select("id", "target", F.array_join("links", ",").alias("links"))
 
 
-@query(ORACLE_SQL["cross_links"].replace(" WHERE p_size < 10", ""))
-def cross_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As cross_links, with all parts as reports."""
-    return cross_links(spark, sf_dir, whole=True)
-
-
 @query(_GAINS + """ SELECT user_id, kind, severity FROM s ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, user_id, kind LIMIT 10""")
-def top_findings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten gravest findings in their total order (a top-k report)."""
-    return _gains(spark, sf_dir, whole).select("user_id", "kind", "severity").orderBy(caps.rank(F.col("severity")), "user_id", "kind").limit(10)
-
-
-# As the queries of the same names, with all events before WHOLE_CUT as the old side.
-for _f in (slot_diff, shape_rules, severity_counts, run_totals, gate, top_findings):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
-    ORACLE_SQL[f"{_f.__name__}_whole"] = ORACLE_SQL[_f.__name__].replace(" AND event_id % 3 = 0", "").replace("2024-01-15", WHOLE_CUT)
+    return _gains(spark, sf_dir).select("user_id", "kind", "severity").orderBy(caps.rank(F.col("severity")), "user_id", "kind").limit(10)
 
 
 @query("""
@@ -369,19 +333,12 @@ def report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), text.report_id(F.lit("npm"), F.col("c_name"), F.col("c_nationkey").cast("string")).alias("report_id"), text.digest(F.col("c_mktsegment")).alias("digest"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END AS snippet, list_aggregate(list_transform(string_split(substr(text, 1, 60), ''), lambda c: CASE WHEN c = chr(10) THEN chr(10) WHEN regexp_matches(c, '^[&<>`*_{}\\[\\]()#+!|\\\\~@-]$') THEN '&#' || ascii(c) || ';' ELSE c END), 'string_agg', '') AS escaped FROM documents""")
-def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets cut at a number of code points, and text made inert for Markdown."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 240).alias("snippet"), text.escape_markdown(F.substring("text", 1, 60)).alias("escaped"))
-
-
 @query(r"""
 SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END AS snippet, CASE WHEN text = '' THEN '' ELSE list_aggregate(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE
-WHEN regexp_matches(c, '^[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2069}\x{FEFF}]$') THEN '\u' || lpad(hex(unicode(c)), 4, '0')
-WHEN regexp_matches(c, '^[&<>`*_{}\[\]()#+!|\\~@-]$') THEN '&#' || unicode(c) || ';' ELSE c END), 'string_agg', '') END AS escaped FROM documents""")
-def truncate_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As truncate_text, with the whole text made inert."""
+WHEN regexp_matches(c, '^[\x00-\x1F\x7F-\x{9F}\x{200B}-\x{200D}\x{2060}\x{202A}-\x{202E}\x{2066}-\x{2069}]$') THEN '&#92;u' || lower(lpad(hex(unicode(c)), 4, '0'))
+WHEN regexp_matches(c, '^[!-/:-@\[-`{-~]$') THEN '&#' || unicode(c) || ';' ELSE c END), 'string_agg', '') END AS escaped FROM documents""")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets cut at a number of code points, and the whole text made inert for Markdown."""
     return read(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 240).alias("snippet"), text.escape_markdown(F.col("text")).alias("escaped"))
 
 
