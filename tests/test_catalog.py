@@ -2,7 +2,9 @@ import pytest
 from compare import same
 from conftest import DATA
 
-from lockgrain.plans import catalog
+from lockgrain.plans import catalog, catalog_files
+
+assert catalog_files.SCRIPTS
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
