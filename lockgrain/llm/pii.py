@@ -8,6 +8,7 @@ Its spans are added where no base span lies; base spans always stay.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,9 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _local_tail = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _mark = re.compile(r"[0-9@]")
+#: Characters from which a word without a digit or @ is looked at by the field too: it may be a key of letters alone.
+LONG = 20
+_long = re.compile(rf"[^ \t-\r]{{{LONG}}}")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +93,31 @@ _class[ord("A") : ord("Z") + 1] = ord("A")
 _class[ord("a") : ord("z") + 1] = ord("a")
 _class[ord("0") : ord("9") + 1] = ord("0")
 _table = _class.tobytes()
+
+
+class _Wide(dict):
+    """The class sign of each character above U+00FF: letters by their case, anything else a sign of its own."""
+
+    def __missing__(self, code: int) -> int:
+        if code < 256:
+            return code
+        kind = unicodedata.category(chr(code))
+        self[code] = out = ord("A" if kind == "Lu" else "a" if kind[0] in "LM" else "~")
+        return out
+
+
+_wide = _Wide()
+
+
+def classes_of(text: str) -> bytes:
+    """A sign for each code point."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = text.translate(_wide).encode("latin-1")
+    return raw.translate(_table)
+
+
 _runs = re.compile(r"(.)\1*", re.S)
 
 
@@ -98,7 +127,9 @@ def shape_features(shape: str) -> tuple[str, ...]:
     runs = [(m.group(1), m.end() - m.start()) for m in _runs.finditer(core)]
     digits, letters = core.count("0"), core.count("a") + core.count("A")
     size = lambda n: str(n) if n <= 4 else "5-7" if n <= 7 else "8-13" if n <= 13 else "14-19" if n <= 19 else "20+"
-    out = ["skeleton=" + "".join(c for c, _ in runs[:12]), "digits=" + size(digits), "length=" + size(len(core))]
+    # words of letters alone are told apart by whether they are long enough to be keys
+    plain = "short:" if not digits and "@" not in core and len(core) < LONG else ""
+    out = ["skeleton=" + plain + "".join(c for c, _ in runs[:12]), "digits=" + size(digits), "length=" + size(len(core))]
     out.append("start=" + shape[:1] + (core[:1] or "-"))
     mixed = digits >= 3 and letters >= 3 and not set(core) - set("Aa0=:\"'_-")
     out.append("mixed=" + (size(len(core)) + ("A" if "a" not in core else "a") if mixed else "no"))
@@ -128,7 +159,7 @@ def coarse(shape: str) -> str:
 
 def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Classes of a text's code points, and where its words start and end."""
-    raw = text.encode("latin-1", "replace").translate(_table)
+    raw = classes_of(text)
     b = np.frombuffer(raw, np.uint8)
     solid = np.concatenate(([False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]))
     turn = np.flatnonzero(solid[1:] != solid[:-1])
@@ -145,15 +176,17 @@ def training_table(n: int = EXAMPLES, seed: int = 11) -> list[tuple[list[str], l
     d = lambda k: "".join(str(int(x)) for x in rng.integers(0, 10, k))
     word = lambda: "".join(pick(*"abcdefghilmnoprstuvé") for _ in range(int(rng.integers(1, 10))))
     hexed = lambda k: d(1) + "".join(pick(*"0123456789abcdef") for _ in range(k - 2)) + d(1)
+    letters = lambda k: "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
     key = lambda k: "".join(pick(*"ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(k - 1)) + d(1)
     some = {
         "email": lambda: pick(f"{word()}.{d(2)}@mail{d(1)}.{word()}.com", f"{word()}@{word()}.org", f"{word()}_{word()}+{d(3)}@{word()}.co", f"<{word()}@{word()}.net>"),
         "ip": lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)),
         "card": lambda: pick(d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{d(4)} {d(6)} {d(5)}"),
         "phone": lambda: pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)}{d(9)}"),
-        "secret": lambda: pick(f"password={hexed(18)}", f'"{hexed(40)}"', f"AKIA{key(16)}", hexed(32), f"key-{hexed(24)}"),
+        "secret": lambda: pick(letters(int(rng.integers(24, 44))), f"password={hexed(18)}", f'"{hexed(40)}"', f"AKIA{key(16)}", hexed(32), f"key-{hexed(24)}"),
     }
-    plain = lambda: pick(word(), word(), word(), word().capitalize(), word() + ",", word() + ".", word() + "-" + word(), word().upper())
+    plain = lambda: pick(word(), word(), word(), word().capitalize(), word() + ",", word() + ".", word() + "-" + word(), word().upper(), *long_words())
+    long_words = lambda: [] if rng.integers(0, 12) else ["".join(word() for _ in range(5)).ljust(LONG, "s"), f"https://www.{word()}-{word()}.org/{word()}/{word()}", "-" * 24]
     harmless = lambda: pick(d(1), d(2), d(3), str(int(rng.integers(1900, 2060))), f"{d(1)}.{d(1)}", f"{d(1)},{d(3)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}%", f"${d(3)}", f"({d(4)})", f"v{d(1)}.{d(2)}", f"{word()}{d(1)}", d(5), f"{d(1)} {word()} {d(2)}", f"{d(2)}/{d(2)}/{d(4)}", "=", "@", f"{d(6)}", f"{word()}={d(1)}", f"{d(3)} {d(3)}")
     table = []
     for k in range(n * (len(KINDS) + 3)):
@@ -236,15 +269,17 @@ class Field:
         self._plain()
 
     def _plain(self) -> None:
-        """Check that words without a digit or @ are always outside, whatever stands beside them.
+        """Check that words under ``LONG`` characters without a digit or @ are always outside, whatever stands beside them.
 
-        Then a segment without such signs needs no decoding: its best path is known.
+        Then a segment of such words needs no decoding: its best path is known.
         """
-        free = [f for f in self.names if "0" not in f.partition("=")[2] and "@" not in f.partition("=")[2]]
+        # in skeletons and starts 0 stands for a digit, elsewhere it is part of a number
+        free = [f for f in self.names if not f.startswith("skeleton=") or f.startswith("skeleton=short:")]
+        free = [f for f in free if not f.startswith("start=") or not set("0@") & set(f.partition("=")[2])]
         family: dict[str, np.ndarray] = {}
         for f in [*free, "digits=0"]:
             head, _, tail = f.partition("=")
-            if (head == "digits" and tail != "0") or (head in ("before", "after") and tail not in ("^", "$", "word", "plus", "equals")) or head in ("groups", "number", "at-inside", "at-inside-dot") or (head == "mixed" and tail != "no"):
+            if (head == "digits" and tail != "0") or (head == "length" and tail == f"{LONG}+") or (head in ("before", "after") and tail not in ("^", "$", "word", "plus", "equals")) or head in ("groups", "number", "at-inside", "at-inside-dot") or (head == "mixed" and tail != "no"):
                 continue
             d = self.w[self.names[f]] - self.w[self.names[f], 0]
             certain = head in ("digits", "mixed", "wordlike")  # such a word has just this one of the family
@@ -307,7 +342,7 @@ class Field:
 
 
 def shape_of(word: str) -> str:
-    return word.encode("latin-1", "replace").translate(_table).decode("latin-1")
+    return classes_of(word).decode("latin-1")
 
 
 @lru_cache(1)
@@ -324,7 +359,7 @@ def field_spans(texts: list[str], model: Field) -> list[list[tuple[int, int, str
     """Spans that the field finds in each whole text, by start."""
     segments, origin = [], []
     for k, text in enumerate(texts):
-        if not text or (model.safe and not _mark.search(text)):
+        if not text or (model.safe and not _mark.search(text) and not _long.search(text)):
             continue
         raw, starts, ends = words_of(text)
         if not len(starts):
@@ -336,8 +371,8 @@ def field_spans(texts: list[str], model: Field) -> list[list[tuple[int, int, str
         close[-1] = True
         seg = np.concatenate(([0], np.cumsum(close)[:-1]))
         if model.safe:
-            marked = np.flatnonzero((b == 48) | (b == 64))
-            wanted = np.unique(seg[np.searchsorted(starts, marked, "right") - 1])
+            marked = np.searchsorted(starts, np.flatnonzero((b == 48) | (b == 64)), "right") - 1
+            wanted = np.unique(seg[np.concatenate((marked, np.flatnonzero(ends - starts >= LONG)))])
         else:
             wanted = np.unique(seg)
         lo, hi = np.searchsorted(seg, wanted), np.searchsorted(seg, wanted, "right")
