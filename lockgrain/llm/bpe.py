@@ -20,13 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lockgrain.llm.common import arrow_schema, prepare, without
+from lockgrain.llm.common import arrow_schema, model, prepare, without
 
 #: Entries of a worker's memo of pieces and of its memo of neighbours; a full memo starts anew, results stay the same.
 MEMO = 300_000
 
-_codecs: dict[tuple[str, str], "Codec"] = {}
-
 
 class Codec:
     """Ranks of a byte-level vocabulary with the pattern that cuts text into pieces, each merged by itself."""
@@ -50,11 +48,13 @@ class Codec:
                 continue
             trie.add_word(t, i)
         trie.make_automaton()
-        self.longest = trie.iter_long
-        self.shorter = {i: next(trie.iter_long(t[:-1], 0))[1] if len(t) > 1 else None for i, t in self.text.items()}
-        for i, t in self.text.items():  # the longest match at the start of all but the last byte
-            if len(t) > 1:
-                self.shorter[i] = next(v for _, v in trie.iter_long(t[:-1]))
+        self.longest, self.most = trie.iter_long, max(map(len, self.rank))
+        # the longest match at the start of all but the last byte
+        self.shorter = {i: next(trie.iter_long(t[:-1]))[1] if len(t) > 1 else None for i, t in self.text.items()}
+
+    def _match(self, s: str, pos: int) -> int:
+        """The longest token at ``pos``; the automaton is shown no more than a token's length, as it takes in all it gets."""
+        return next(self.longest(s[pos : pos + self.most]))[1]
 
     def _derive(self, t: str, i: int) -> bool:
         """Find the pair whose merge makes token ``t``; both halves have lower ranks and are no other merge's parts."""
@@ -100,7 +100,7 @@ class Codec:
             return [whole]
         n, pos, out, dead = len(s), 0, [], set()
         fits, size, shorter = self.fits, self.size, self.shorter
-        tok = next(self.longest(s, 0))[1]
+        tok = self._match(s, 0)
         while True:
             end = pos + size[tok]
             ok = end not in dead
@@ -116,7 +116,7 @@ class Codec:
                 pos = end
                 if pos == n:
                     return out
-                tok = next(self.longest(s, pos))[1]
+                tok = self._match(s, pos)
             elif shorter[tok] is not None:
                 tok = shorter[tok]
             else:
@@ -145,18 +145,20 @@ class Codec:
 
 
 def load(path: str, pattern: str) -> Codec:
-    """The codec of a rank file, built once in a process."""
-    key = (path, pattern)
-    if key not in _codecs:
+    """The codec of a rank file."""
+
+    def make() -> Codec:
         with Path(path).open("rb") as f:
-            _codecs[key] = Codec({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
-    return _codecs[key]
+            return Codec({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
+
+    return model(("bpe", path, pattern), make)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "token_ids", keep_text: bool = True) -> DataFrame:
     """Append ``out``, array<int>: the ids of the whole text, without special tokens.
 
-    Null and empty texts give an empty array.  Rows are independent: repeats and ties need no rule.  An input column
+    Null and empty texts give an empty array, an empty table an empty one; time is linear in very long texts.  Rows are
+    independent: repeats and ties need no rule.  An input column
     named like ``out`` is replaced.  Extra columns pass through.
     """
     prepare(docs.sparkSession)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+T_ = TypeVar("T_")
 #: Rows and bytes of one Arrow batch, about: whole texts are long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Of the codecs at hand the one that holds least memory outside of the heap, where an executor's limit counts too.
+CODEC = "snappy"
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\v\f\r"
 
+_held: dict[tuple, object] = {}
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -69,14 +76,14 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(*entry)
 
 
-def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written.
 
     The files go by ``discard``, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))
@@ -93,6 +100,15 @@ def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def model(key: tuple, make: Callable[[], T_]) -> T_:
+    """What ``make`` gives, once in a process.  A worker holds the one model that it used last, however many stages it serves."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
@@ -103,12 +119,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The ``rows`` rows of smallest id hash; only a hash of the ids is sorted, and at most ``rows`` of them a task.
+def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """The ``rows`` distinct rows of ``columns`` with the smallest hashes, whatever the partitioning.
 
-    A tie at the border may add a row.  Rows with null ids are never sampled.
+    Of a large table only the share that holds about twice as many rows is sorted, so where most rows are repeats the
+    sample can be smaller.  Rows with a null in the first column are never sampled.
     """
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
-    ids = df.where(F.col(id_col).isNotNull()).select(h.alias("h"))
-    edge = ids.orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(F.col(id_col).isNotNull() & (h <= F.lit(edge if edge is not None else -(2**63))))
+    df = df.where(F.col(columns[0]).isNotNull()).select(*columns)
+    h = F.xxhash64(*columns, F.lit(17))
+    total = df.count()
+    if total > 4 * rows:
+        df = df.where(h < int(-(2**63) + 2**64 * (2 * rows / total)))
+    return df.distinct().orderBy(h, *columns).limit(rows)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lockgrain.llm.common import SPACES, arrow_schema, prepare, without
+from lockgrain.llm.common import SPACES, arrow_schema, model, prepare, without
 
 #: (least and most characters a token, most byte-fallback share, least relative entropy).  Languages: measured by
 #: piece_bpe_32k on the documents of sf0.1 that `labels` calls clean (quality 1) and the base rule keeps (1,973 en, 475
@@ -46,7 +46,6 @@ SYMBOLS = "#*$%&|<>"
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _scripts = {s: regex.compile(rf"\p{{{s}}}+") for s in BANDS if len(s) > 2}
-_models: dict[str, object] = {}
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -92,20 +91,21 @@ def verdict(text: str, lang: str | None, figures: tuple[float, float, float, flo
 
 
 def _model(path: str) -> tuple[object, frozenset[int]]:
-    if path not in _models:
+    def make() -> tuple[object, frozenset[int]]:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        _models[path] = m, frozenset(i for i in range(m.get_piece_size()) if m.is_byte(i))
-    return _models[path]
+        return m, frozenset(i for i in range(m.get_piece_size()) if m.is_byte(i))
+
+    return model(("fertility", path), make)
 
 
 def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str | None = "lang", keep_text: bool = True) -> DataFrame:
     """Append the five base counts, base_failed, chars_per_token, byte_share, token_entropy and kept.
 
     Whole texts are measured.  Null, empty and blank texts have no words: they fail the base rule and are not kept.
-    A null or unlisted language is judged by its main script.  Repeated rows get equal results.  Input columns with
-    an output's name are replaced.
+    A null or unlisted language is judged by its main script, at a tie by the one listed first.  Repeated rows get equal
+    results, and an empty table gives an empty table.  Input columns with an output's name are replaced.
     """
     prepare(docs.sparkSession)
     own = [*[(c, T.LongType()) for c in FIELDS], ("base_failed", T.BooleanType()), ("chars_per_token", T.DoubleType()), ("byte_share", T.DoubleType()), ("token_entropy", T.DoubleType()), ("kept", T.BooleanType())]
@@ -117,7 +117,7 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
     keep = [docs.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, is_byte = _model(vocabulary)
+        pieces, is_byte = _model(vocabulary)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
@@ -125,7 +125,7 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
             for text, lang in zip(texts, langs, strict=True):
                 base = base_counts(text)
                 failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-                figures = fertility(text or "", model.encode(text) if text else [], is_byte)
+                figures = fertility(text or "", pieces.encode(text) if text else [], is_byte)
                 rows.append((*base, failed, *figures[:3], not failed and verdict(text, lang, figures)))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in own]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(c, target.field(n).type) for (n, _), c in zip(own, columns, strict=True)], schema=target)

@@ -12,16 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lockgrain.llm.common import BATCH_ROWS, arrow_schema, prepare, without
+from lockgrain.llm.common import BATCH_ROWS, arrow_schema, if_small, prepare, staged, without
 
-#: Labelled texts a language in the fit, at most; the bound of this operator's sample.
-FIT_ROWS = 400
-#: Languages that are learned, at most: those with most labelled texts.
-LANGUAGES = 128
+#: Labelled texts a language in the fit, and of all languages together, at most, though one of each language at least:
+#: the bounds of this operator's sample.  Every language is learned.
+FIT_ROWS, FIT_TOTAL = 400, 16_000
 #: Buckets of hashed byte 2-grams and 3-grams.
 BUCKETS = 4096
 #: Languages closer than this in weighted loss are ambiguous.
@@ -106,20 +105,25 @@ class OutputCode:
         return [self.langs[i] for i in best], 1 / soft.sum(axis=1), gap < AMBIGUOUS
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> OutputCode | None:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_total: int = FIT_TOTAL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> OutputCode | None:
     """Learn from the rows of ``labelled`` with a language and a text; None if there are none.
 
-    The sample: of each of the ``LANGUAGES`` largest languages about ``fit_rows`` rows, chosen by a hash of the id.
-    N-gram counts are made by the executors; the driver gets ``fit_rows * BUCKETS`` floats a language at most.
+    The sample: of each language the ``fit_rows`` rows of smallest hash of (id, text), fewer if ``fit_total`` would be
+    exceeded, but one at least; rows that repeat both count once.  N-gram counts are made by the executors; the driver
+    gets ``BUCKETS`` half-precision numbers for each sampled row.
     """
     prepare(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(5)).alias("h"))
+    sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "languages")
+    languages = sizes.count()
+    if not languages:
         return None
-    spread = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(5)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes for v in (lang, max(1, int(1_000_000 * min(1.0, fit_rows / n))))])
-    sample = rows.where(spread < share[F.col("lang")]).select("lang", "text")
+    each = max(1, min(fit_rows, fit_total // languages))
+    # of a large language only the share that holds about four times as many rows is ranked
+    edge = F.when(F.col("n") > 8 * each, -(2.0**63) + 2.0**64 * 4 * each / F.col("n")).otherwise(2.0**63)
+    near = rows.join(if_small(sizes.select("lang", "least", edge.alias("edge"))), "lang").where((F.col("h").cast("double") <= F.col("edge")) | (F.col("h") == F.col("least")))
+    one = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = one.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= each).select("lang", "text")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +131,19 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", t
             x = features(batch.column(1).to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], schema=arrow_schema(schema))
 
-    got = sorted(((r[0], bytes(r[1])) for r in sample.mapInArrow(run, schema).limit(2 * fit_rows * len(sizes)).collect()))
-    if not got:
-        return None
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float16).reshape(len(got), BUCKETS).astype(np.float32)
-    return OutputCode(x, [r[0] for r in got])
+    got = sorted(((r[0], bytes(r[1])) for r in sample.mapInArrow(run, schema).collect()))
+    x = np.empty((len(got), BUCKETS), np.float32)
+    for k, (_, raw) in enumerate(got):
+        x[k] = np.frombuffer(raw, np.float16)
+    return OutputCode(x, [lang for lang, _ in got])
 
 
 def identify(docs: DataFrame, model: OutputCode | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Append lang_pred, score (0 to 1) and ambiguous.
 
     Null texts, texts without a letter, and all texts if there is no model are ``und`` with score 0.  Equal texts get
-    equal results.  Input columns with an output's name are replaced.
+    equal results; of languages with equal loss the alphabetically first is given, and flagged.  Whole texts count,
+    however long, and an empty table gives an empty table.  Input columns with an output's name are replaced.
     """
     spark = docs.sparkSession
     prepare(spark)

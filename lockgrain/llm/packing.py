@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lockgrain.llm.common import arrow_schema, prepare, without
+from lockgrain.llm.common import arrow_schema, model, prepare, without
 
 #: What is left of a document after its full pieces is cut once more, at its last multiple of this.
 GRID = 32
 #: Groups in which pieces of one length are ranked apart, so that no length is ranked by one task.
 RANK_GROUPS = 1024
 
-_tokenizers: dict[tuple, object] = {}
-
 
 class Tokenizer:
     """Ids of a byte-level BPE vocabulary.
@@ -64,9 +62,7 @@ class Tokenizer:
 
 
 def tokenizer(*key: str | None) -> Tokenizer:
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(*key)
-    return _tokenizers[key]
+    return model(("packing", *key), lambda: Tokenizer(*key))
 
 
 def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, pattern: str | None = None, length: int = 1024, end_id: int = 0, grid: int = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

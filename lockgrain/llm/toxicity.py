@@ -82,13 +82,14 @@ class Ordinal:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal:
     """Learn from at most ``fit_rows`` labelled ids (by hash; ids labelled twice take the highest grade).
 
-    Null grades and null texts are left out.  Without any labelled row, or with one grade only, every text has
-    severity 0.
+    Null grades, null ids and null texts are left out; of several texts of an id the least one counts.  Without any
+    labelled row, or with one grade only, every text has severity 0.
     """
     prepare(docs.sparkSession)
     graded = labels.where(F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(grade_col).cast("int").alias("grade"))
-    chosen = hash_sample(graded, "id", fit_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(chosen, "id").select("grade", "text")
+    chosen = F.broadcast(staged(hash_sample(graded, fit_rows, "id", "grade"), "chosen"))  # ``fit_rows`` ids at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(chosen, "id")
+    rows = rows.groupBy("id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
     schema = T.StructType([T.StructField("grade", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
     target = arrow_schema(schema)
 
@@ -108,15 +109,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     vocabulary = [r[0] for r in seen.select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect()]
     index = {w: i for i, w in enumerate(vocabulary)}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    got = sample.select("grade", F.array_intersect("words", known).alias("words")).limit(2 * fit_rows).collect()
+    got = sample.select("grade", F.array_intersect("words", known).alias("words")).collect()  # a row an id
     return Ordinal(vocabulary, sorted((g, sorted(index[w] for w in ws)) for g, ws in got))
 
 
 def grade(docs: DataFrame, model: Ordinal, text_col: str = "text", keep_text: bool = True, edge: float = EDGE) -> DataFrame:
     """Append severity (expected grade), severity_grade (most likely one) and toxic (severity of ``edge`` or more).
 
-    Null and empty texts have severity 0 and are not toxic.  Equal texts get equal results.  Input columns with an
-    output's name are replaced.
+    Null and empty texts have severity 0 and are not toxic.  Equal texts get equal results; at a tie between grades the
+    lower one is most likely.  Whole texts count, however long, and an empty table gives an empty table.  Input columns
+    with an output's name are replaced.
     """
     prepare(docs.sparkSession)
     docs = without(docs, "severity", "severity_grade", "toxic")
