@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 T_ = TypeVar("T_")
 #: Rows and bytes of one Arrow batch, about: whole texts are long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Rows of one file of a table whose size is known.
+FILE_ROWS = 20_000
 #: Of the codecs at hand the one that holds least memory outside of the heap, where an executor's limit counts too.
 CODEC = "snappy"
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
@@ -76,14 +78,15 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(*entry)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written.
 
-    The files go by ``discard``, or when the session's process ends.
+    ``rows``, a number that the table does not exceed, keeps a small one from being scattered over many files: it is
+    written by as many tasks as it has ``FILE_ROWS`` rows.  The files go by ``discard``, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", CODEC).parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.option("compression", CODEC).parquet(path)
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))

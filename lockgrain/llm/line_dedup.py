@@ -26,17 +26,6 @@ def normal(line: Column) -> Column:
     return F.trim(F.lower(line), F.lit(" \t\r\v\f"))
 
 
-def _segment(i: int, length: Column, parts: int) -> tuple[Column, Column]:
-    """1-based start and the length of segment i (from 1) of an even partition; later segments take the rest."""
-    base = F.floor(length / parts).cast("int")
-    short = F.lit(parts) - (length % parts)
-    return 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short), base + (F.lit(i) > short).cast("int")
-
-
-def _key(i: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), text)
-
-
 #: Words of 64 bits in the parity vector of a line's character pairs.
 PARITY_WORDS = 4
 
@@ -53,14 +42,6 @@ def parities(norm: str) -> Column:
     return F.expr(f"get(transform(array(split({norm}, '')), c -> if(size(c) < 2, {zero}, aggregate({places}, {zero}, (v, p) -> array({flipped})))), 0)")
 
 
-def index_keys(norm: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    out = []
-    for i in range(1, edits + 2):
-        start, size = _segment(i, length, edits + 1)
-        out.append(_key(i, length, F.substring(norm, start, size)))
-    return out
-
-
 def probe_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
     """(characters less, segment, shift) of the substrings that can equal a segment of a line that is up to ``edits`` shorter."""
     out = []
@@ -71,14 +52,13 @@ def probe_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return out
 
 
-def probe_keys(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, id, size) of all probes of the lines (id, norm, size) but those of their own segments in place.
+def keys_at(distinct: DataFrame, places: list[tuple[int, int, int]], edits: int = EDITS) -> DataFrame:
+    """(key, id, size) of the lines (id, norm, size) at each of the places.
 
     One expression serves all places: one for each would make a method too large to be compiled to machine code.
     """
-    others = [p for p in probe_places(edits) if p[0] or p[2]]
-    places = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("less", "i", "shift"), strict=True)]) for place in others])
-    rows = distinct.select("id", "norm", "size", F.explode(places).alias("p")).select("id", "norm", "size", "p.*")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("less", "i", "shift"), strict=True)]) for place in places])
+    rows = distinct.select("id", "norm", "size", F.explode(listed).alias("p")).select("id", "norm", "size", "p.*")
     i, other = F.col("i"), F.col("size") - F.col("less")
     base = F.floor(other / (edits + 1)).cast("int")
     short = edits + 1 - (other % (edits + 1))
@@ -131,31 +111,29 @@ def distance(longer: str, shorter: str, edits: int = EDITS) -> Column:
 
 def _classes(distinct: DataFrame, edits: int) -> DataFrame:
     """(node, component) of the distinct lines (id, norm, size) that link with another."""
-    norm, size = F.col("norm"), F.col("size")
-    own = distinct.select(F.explode(F.array(*index_keys(norm, size, edits))).alias("key"), "id", "size")
-    index = own.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
-    shared = staged(index.where("c != z"), "shared")
-    hits = own.join(if_small(shared), "key").union(probe_keys(distinct, edits).join(index, "key").where("id != c or c != z"))
-    hits = staged(hits.select("key", "id", "size", "c", "z"), "hits")
+    places = probe_places(edits)
+    index = keys_at(distinct, [p for p in places if p[0] == p[2] == 0], edits).groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"))
+    # a line's own segments are among its probes, so the probes of a key are all of its lines
+    hits = staged(keys_at(distinct, places, edits).join(index, "key").where("id != c or c != z"), "hits")
     pairs = staged(hits.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return distinct.join(if_small(ids), "id", "left_semi").select("id", "norm", "size")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    def verify(pairs: DataFrame, count: int) -> DataFrame:
+        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids", 2 * count)
         texts = staged(texts_of(ids), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("n")), "b")
         both = both.where(F.abs(F.col("m") - F.col("n")) <= edits)
         longer, shorter = F.when(F.col("m") >= F.col("n"), F.col("x")).otherwise(F.col("y")), F.when(F.col("m") >= F.col("n"), F.col("y")).otherwise(F.col("x"))
         both = both.select("a", "b", longer.alias("long"), shorter.alias("short"))
-        out = staged(both.where(distance("long", "short", edits) <= edits).select("a", "b"), "near")
+        out = staged(both.where(distance("long", "short", edits) <= edits).select("a", "b"), "near", count)
         discard(ids, texts)
         return out
 
     def search(open_: DataFrame) -> DataFrame:
         """Pairs of one key whose parity vectors allow a link, each in the first key that both have."""
-        ids = staged(open_.groupBy("id").agg(F.collect_set("key").alias("keys")), "ids")
+        ids = staged(open_.groupBy("id").agg(F.collect_set("key").alias("keys")), "ids", open_.count())
         marked = staged(texts_of(ids.select("id")).select("id", parities("norm").alias("parity")).join(ids, "id"), "marked")
         rows = open_.join(if_small(marked, 50_000), "id")
         other = rows.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("component").alias("c2"), F.col("size").alias("s2"), F.col("parity").alias("p2"), F.col("keys").alias("keys2"))
@@ -169,9 +147,9 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame:
         discard(ids, marked)
         return out
 
-    links = verify(pairs)
+    links = verify(pairs, pairs.count())
     members = staged(hits.where("c != z").select("key", "id", "size").distinct(), "members")
-    discard(hits, shared)
+    discard(hits)
     # keys with more than one indexed line: their further pairs, for what is not yet in one component
     out = linked(members, verify, search, lambda x, y: F.abs(x - y) <= edits, (pairs, links))
     discard(members, pairs)
@@ -185,11 +163,11 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     prepare(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(text_col, "\n")).alias("_line", "raw"))
     rows = rows.select("_id", "_text", "_line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least_chars)
-    rows = staged(rows.select("_id", "_text", "_line", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(1), F.col("norm")).alias("check"), "norm"), "lines", "snappy")
+    rows = staged(rows.select("_id", "_text", "_line", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(1), F.col("norm")).alias("check"), "norm"), "lines")
     often = staged(rows.groupBy("id").agg(F.count("*").alias("times"), F.min("check").alias("x"), F.max("check").alias("y")).where("times > 1").select("id", (F.col("x") != F.col("y")).alias("clash")), "often")
     clash = often.where("clash").select("id", "clash")
     if not clash.isEmpty():  # different lines of one hash get other names
-        rows = rows.join(if_small(clash), "id", "left").withColumn("id", F.when("clash", F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("clash")
+        rows = rows.join(if_small(clash), "id", "left").withColumn("id", F.when(F.col("clash"), F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("clash")
         often = staged(rows.groupBy("id").count().where("count > 1").select("id"), "often")
     often = often.select("id")
     # only lines that stand more than once are moved to find one of each
@@ -225,6 +203,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     lines, n_lines = F.split(text_col, "\n"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     rows = docs.withColumn("_hash", F.xxhash64(text_col))
     rows = rows if keep_text else rows.withColumn("n_lines", F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")).drop(text_col)
+    # with whole texts, one plan at every size: which side would fit into memory says nothing of a larger corpus
+    gone = gone.hint("merge") if keep_text else gone
     out = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
     if keep_text:
         out = out.withColumn("_lines", lines).withColumn("n_lines", F.when(F.col(text_col).isNotNull(), n_lines).otherwise(0))

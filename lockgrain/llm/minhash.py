@@ -274,16 +274,16 @@ def document_groups(docs: DataFrame, shingle_words: int = 5, threshold_percent:
         # rows that repeat an id and its text have given the same set again
         return found.groupBy("node").agg(F.first("set").alias("set"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, count: int) -> DataFrame:
         hopeful = pairs.join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-        hopeful = staged(hopeful.where(estimate(F.col("x"), F.col("y")) >= least).select("a", "b"), "hopeful")
+        hopeful = staged(hopeful.where(estimate(F.col("x"), F.col("y")) >= least).select("a", "b"), "hopeful", count)
         # the side that fewer documents share is the partner; each copy of the other's set serves a block of partners
         often = hopeful.select(F.explode(F.array("a", "b")).alias("hub")).groupBy("hub").count()
         sided = hopeful.join(often.select(F.col("hub").alias("a"), F.col("count").alias("m")), "a").join(often.select(F.col("hub").alias("b"), F.col("count").alias("n")), "b")
         sided = sided.select(F.when(F.col("m") >= F.col("n"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("m") >= F.col("n"), F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("m", "n").alias("m"))
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / PARTNERS)).cast("long")
-        sided = staged(sided.select("hub", "node", salt.alias("salt")), "sided")
-        nodes = staged(sided.select("hub").union(sided.select("node")).distinct().withColumnRenamed("hub", "node"), "nodes")
+        sided = staged(sided.select("hub", "node", salt.alias("salt")), "sided", count)
+        nodes = staged(sided.select("hub").union(sided.select("node")).distinct().withColumnRenamed("hub", "node"), "nodes", 2 * count)
         sets = staged(sets_of(nodes), "sets")
         hubs = sided.select("hub", "salt").distinct().select("hub", "salt", F.lit(0).cast("long").alias("part"), F.col("hub").alias("node"))
         both = hubs.union(sided.select("hub", "salt", F.lit(1).cast("long"), "node")).join(sets, "node").select("hub", "salt", "part", "node", "set")
@@ -306,13 +306,13 @@ def document_groups(docs: DataFrame, shingle_words: int = 5, threshold_percent:
                 a, b = np.minimum(of[good], node[good]), np.maximum(of[good], node[good])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema(pair))
 
-        out = staged(dealt.mapInArrow(confirm, pair), "confirmed")
+        out = staged(dealt.mapInArrow(confirm, pair), "confirmed", count)
         discard(hopeful, sided, nodes, sets)
         return out
 
     def search(open_: DataFrame) -> DataFrame:
         """Pairs of one bucket: its open rows are dealt into blocks, and two blocks at a time are compared in a task."""
-        nodes = staged(open_.select(F.col("id").alias("node")).distinct(), "nodes")
+        nodes = staged(open_.select(F.col("id").alias("node")).distinct(), "nodes", open_.count())
         sets = staged(sets_of(nodes, short=True).withColumnRenamed("set", "short"), "sets")
         many = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
         placed = open_.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
