@@ -23,12 +23,10 @@ def linked(members: DataFrame, verify: Callable[[DataFrame, int], DataFrame], se
     """(node, component) of all ids with a link.
 
     ``members`` (key, id, size) is a written table whose buckets hold two ids or more; ``verify`` takes distinct pairs
-    (a < b) and their number, and returns those that link, as a
-    written table.  ``search`` gets the rows (key, id, size, component) that are still open after
-    the centres and returns, as a written table,
-    pairs (a < b) of one key and different components, with every link among them.  Sizes for
-    which ``near`` is false cannot link.  ``start`` are pairs verified before and the links among them.
-    An empty table gives an empty table.
+    (a < b) and their number, and returns those that link, as a written table.  ``search`` gets the rows (key, id, size,
+    component) that are still open after the centres and returns pairs (a < b) of one key and different components, as a
+    written table, with every link among them.  Sizes for which ``near`` is false cannot link.  ``start`` are pairs
+    verified before and the links among them.  An empty table gives an empty table.
     """
     tested, links = start or (None, None)
     total = members.count()

@@ -20,7 +20,7 @@ T_ = TypeVar("T_")
 #: Rows and bytes of one Arrow batch, about: whole texts are long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Rows of one file of a table whose size is known.
-FILE_ROWS = 20_000
+FILE_ROWS = 5_000
 #: Of the codecs at hand the one that holds least memory outside of the heap, where an executor's limit counts too.
 CODEC = "snappy"
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
