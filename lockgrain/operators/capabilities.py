@@ -62,7 +62,7 @@ def gains(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFr
     return joined.withColumn("change", change).where("change is not null").drop("had")
 
 
-#: Rules over a package's gains, each CRITICAL, in the order in which they are reported.
+#: Rules over a package's gains, each CRITICAL, in the order in which they are reported.
 RULES = ["install-code-execution", "secret-exfiltration", "obfuscated-execution", "install-hook-change", "dynamic-or-native-code"]
 RULES_SEVERITY = "CRITICAL"
 
@@ -151,3 +151,12 @@ def scheduled(packages: DataFrame, has_hook: str, size: str, tie: str) -> DataFr
     """Order of work: install hooks first, then small ones; ``position`` from 1 within each ``lane`` of the table."""
     w = Window.partitionBy("lane").orderBy(F.col(has_hook).desc(), F.col(size), F.col(tie))
     return packages.withColumn("position", F.row_number().over(w).cast("long"))
+
+
+def corpus_totals(bumps: DataFrame) -> DataFrame:
+    """One row over a corpus of version bumps (status, findings, diagnostics): how many there are, were analysed or not,
+    and have findings, and the sums of findings and diagnostics of the analysed ones.  No bump gives zeros.
+    """
+    done = F.col("status") == "analyzed"
+    total = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long").alias(c)
+    return bumps.agg(F.count("*").alias("bumps"), F.count_if(done).alias("analyzed"), F.count_if(~done).alias("unavailable"), F.count_if(done & (F.col("findings") > 0)).alias("with_findings"), total("findings"), total("diagnostics"))

@@ -18,6 +18,9 @@ URGENCY = {"integrity-changed-version-same": 100, "version-downgrade": 80}
 NEW_PACKAGE = 90
 
 
+#: The wording of details below is fixed as well.
+
+
 class ContractError(ValueError):
     """Facts that contradict each other; the first violation is named."""
 

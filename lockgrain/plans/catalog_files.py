@@ -374,3 +374,26 @@ def line_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of whole texts that hold a sign, with their numbers."""
     rows = signals.lines(read(spark, sf_dir, "documents").where("text is not null"), ["doc_id"], "text")
     return rows.where(F.col("line_text").contains("@")).select("doc_id", "line", F.col("line_text").alias("snippet"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey // 13 AS pair, count(*) AS n, count(*) FILTER (p_partkey % 5 > 0 AND p_partkey % 3 > 0) AS runtime FROM part GROUP BY 1)
+SELECT pair, pair % 12 AS direct, runtime, pair % 12 >= 10 AS exceeded FROM p""")
+def dependency_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct dependencies and installed runtime packages of lockfiles."""
+    k = F.col("p_partkey")
+    folder = F.when(k % 5 == 0, "src/p").otherwise("node_modules/p")
+    rows = read(spark, sf_dir, "part").select(F.floor(k / PER_FILE).alias("pair"), F.concat(F.lit('"'), folder, k.cast("string"), F.when(k % 3 == 0, '":{"dev":true}').otherwise('":{}')).alias("entry"))
+    names = F.transform(F.sequence(F.lit(0), (F.col("pair") % 12).cast("int")), lambda i: F.concat(F.lit('"d'), i.cast("string"), F.lit('":"1"')))
+    root = F.concat(F.lit('{"packages":{"":{"dependencies":{'), F.array_join(F.slice(names, 1, (F.col("pair") % 12).cast("int")), ","), F.lit("}},"))
+    files = rows.groupBy("pair").agg(F.array_join(F.sort_array(F.collect_list("entry")), ",").alias("entries"))
+    return lockfile.dependency_budget(files.select("pair", F.lit("new").alias("side"), F.concat(root, "entries", F.lit("}}")).alias("content"))).drop("side")
+
+
+@query("""
+SELECT count(*) AS bumps, count(*) FILTER (o_orderstatus <> 'P') AS analyzed, count(*) FILTER (o_orderstatus = 'P') AS unavailable, count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 4 > 0) AS with_findings,
+CAST(coalesce(sum(o_orderkey % 4) FILTER (o_orderstatus <> 'P'), 0) AS BIGINT) AS findings, CAST(coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) FILTER (o_orderstatus <> 'P'), 0) AS BIGINT) AS diagnostics FROM orders""")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over a corpus of version bumps."""
+    rows = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", "unavailable").otherwise("analyzed").alias("status"), (F.col("o_orderkey") % 4).alias("findings"), F.floor("o_totalprice").cast("long").alias("diagnostics"))
+    return caps.corpus_totals(rows)

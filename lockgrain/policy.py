@@ -60,6 +60,8 @@ class Policy:
         return max(1, min(rows, self.extraction_concurrency))
 
 
+#: The names of fields, their values and the wording of errors below are fixed.
+
 # --- configuration file ------------------------------------------------------------------------------------------
 
 MAX_CONFIG_BYTES = 256 << 10

@@ -245,6 +245,8 @@ def to_json(report: dict) -> str:
     return json.dumps(report, indent=2, ensure_ascii=False) + "\n"
 
 
+#: The wording of text, SARIF and Markdown below is that of fixed formats.
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 

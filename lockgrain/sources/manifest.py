@@ -13,6 +13,9 @@ HOOKS = {"preinstall": "registry-install", "install": "registry-install", "posti
 _token = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
 
 
+#: The kinds and the wording of failures and diagnostics below are fixed values.
+
+
 class ManifestError(ValueError):
     """A manifest that cannot be used; ``kind`` classifies why, ``at`` is the offset of the fault if it has one."""
 

@@ -232,6 +232,7 @@ def contents_lockfile(service: Contents, path: str, commit: str, most: int = MAX
 
 # --- artifacts ---------------------------------------------------------------------------------------------------
 
+#: The kinds of failures, and the wording of their details below, are fixed values.
 #: What a fetching callable gives for an address: its bytes, or (kind, detail) of a failure.
 Fetch = Callable[[str, float, int], "bytes | tuple[str, str]"]
 FETCHED = "url string, content binary, kind string, detail string"
