@@ -29,6 +29,8 @@ CELL_ROWS = 4096
 PIVOTS, SAMPLE = 512, 4096
 #: Splits of splits, at most: as many digits as a long holds.
 LEVELS = 6
+#: Vectors of the sample on which the copies of a split are tried.
+TRIAL = 512
 #: Rows that a split may make of one, on average; beyond that the cell stays whole.
 COPIES = 3.0
 #: What rounding can add to a distance: near zero, the root of an error in the last digit.
@@ -129,7 +131,8 @@ _ROW = "label string, dim int, cell long, border long, far double, id long, time
 def _split(rows: DataFrame, sizes: DataFrame, level: int, radius: float, kind: str) -> DataFrame:
     """Rows of cells (with their sizes) dealt to new cells by pivots of each cell's own, from a sample of it by hash.
 
-    A cell's rows are assigned in groups of bounded size, each with a copy of its pivots.
+    Pivots that would copy the sample's rows to more than ``COPIES`` cells on average are not used, and the cell's rows
+    left out.  Those of the other cells are assigned in groups of bounded size, each with a copy of its pivots.
     """
     spread = F.xxhash64("id", F.lit(level))
     share = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), 2.0 * SAMPLE / F.col("n"))
@@ -137,9 +140,14 @@ def _split(rows: DataFrame, sizes: DataFrame, level: int, radius: float, kind: s
     few = few.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(spread, "id"))).where(F.col("place") <= SAMPLE)
 
     def choose(part: pa.Table) -> pa.Table:
-        return part.take(pa.array(spread_out(_vectors(part.column("vec")), PIVOTS, radius)))
+        x = _vectors(part.column("vec"))
+        found = spread_out(x, PIVOTS, radius)
+        trial = x[:: max(1, len(x) // TRIAL)]
+        copies = len(cells_of(trial, x[found], radius)[0])
+        return part.take(pa.array(found if copies <= COPIES * len(trial) else found[:0]))
 
     pivots = staged(few.select(*KEY, "vec").groupBy(*KEY).applyInArrow(choose, f"label string, dim int, cell long, vec {kind}"), "pivots")
+    sizes = sizes.join(if_small(staged(pivots.select(*KEY).distinct(), "parted")), KEY, "left_semi")
     salts = F.ceil(F.col("n") / (8 * BLOCK_ROWS)).cast("int")
     dealt = rows.join(if_small(sizes), KEY).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), salts).cast("int")).select(*KEY, "salt", F.lit(1).alias("part"), "border", "id", "times", "vec")
     copies = pivots.join(if_small(sizes), KEY).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*KEY, "salt", F.lit(0).alias("part"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), "vec")
