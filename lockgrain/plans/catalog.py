@@ -187,7 +187,7 @@ def unparseable_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATTERNS = """
-WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 100) AS BIGINT)) AS q FROM embeddings), f AS (SELECT vec_id, q, len(q) AS n FROM a WHERE list_max(q) <= 255 AND len(q) >= 8)"""
+WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 800) AS BIGINT)) AS q FROM embeddings), f AS (SELECT vec_id, q, len(q) AS n FROM a WHERE list_max(q) <= 255 AND len(q) >= 8)"""
 
 
 @query(_PATTERNS + " SELECT vec_id, 'charcode-array' AS pattern, CAST(n AS INTEGER) AS n FROM f")
@@ -197,7 +197,7 @@ def obfuscation_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("string"))
+    values = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 800).cast("string"))
     rendered = F.concat(F.lit("var data = ["), F.array_join(values, ", "), F.lit("];"))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.explode(signals.numeric_arrays(rendered)).alias("a")).select("vec_id", "a.pattern", "a.n")
 

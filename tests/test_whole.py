@@ -12,7 +12,7 @@ def run(spark, tmp_path, name, **tables):
 
 
 def test_whole_vectors(spark, tmp_path):
-    rows = [(1, [0.5] * 64), (2, [0.5] * 16 + [6.0] * 48), (3, [0.5] * 63 + [2.6])]
+    rows = [(1, [0.2] * 64), (2, [0.2] * 16 + [0.9] * 48), (3, [0.2] * 63 + [0.5])]
     got = run(spark, tmp_path, "obfuscation_arrays", embeddings=(rows, "vec_id long, embedding array<float>"))
     assert [(r.vec_id, r.n) for r in got] == [(1, 64)]
 
