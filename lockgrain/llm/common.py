@@ -21,8 +21,13 @@ T_ = TypeVar("T_")
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Rows of one file of a table whose size is known.
 FILE_ROWS = 5_000
+#: Tasks a core that write a small staged table: what was dealt out more finely is written by fewer.
+CORE_TASKS = 4
 #: Of the codecs at hand the one that holds least memory outside of the heap, where an executor's limit counts too.
 CODEC = "snappy"
+#: How staged tables are written to a local folder: without a checksum file beside each file.  An executor starts a process
+#: for each file that it creates there, which is counted with the executor's own memory until it has become another program.
+LOCAL_WRITES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\v\f\r"
 
@@ -78,15 +83,28 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(*entry)
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions that the files behind ``df`` fill; very many if their size is not known."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    limit = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(size // limit + 1, 1_000_000)
+
+
 def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written.
 
     ``rows``, a number that the table does not exceed, keeps a small one from being scattered over many files: it is
-    written by as many tasks as it has ``FILE_ROWS`` rows.  The files go by ``discard``, or when the process ends.
+    written by as many tasks as it has ``FILE_ROWS`` rows.  No table is written by more than ``CORE_TASKS`` tasks a core,
+    unless it is made from more bytes of files than so many partitions hold, or the cores come and go by dynamic
+    allocation.  The files go by ``discard``, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.option("compression", CODEC).parquet(path)
+    tasks = [] if rows is None else [rows // FILE_ROWS + 1]
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        tasks.append(max(CORE_TASKS * spark.sparkContext.defaultParallelism, _parts(df)))
+    (df.coalesce(min(tasks)) if tasks else df).write.options(compression=CODEC, **LOCAL_WRITES).parquet(path)
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.llm.buckets import linked
-from lockgrain.llm.common import discard, if_small, prepare, staged, without
+from lockgrain.llm.common import FILE_ROWS, discard, if_small, prepare, staged, without
 from lockgrain.llm.components import components
 
 #: Edits (insertions, deletions, substitutions) up to which lines are the same.
@@ -122,7 +122,8 @@ def _classes(distinct: DataFrame, edits: int) -> DataFrame:
 
     def verify(pairs: DataFrame, count: int) -> DataFrame:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids", 2 * count)
-        texts = staged(texts_of(ids), "texts")
+        # all lines are scanned for these few: moved to few files, as each task of the scan would write one of its own
+        texts = staged(texts_of(ids).repartition(ids.count() // FILE_ROWS + 1), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("n")), "b")
         both = both.where(F.abs(F.col("m") - F.col("n")) <= edits)
         longer, shorter = F.when(F.col("m") >= F.col("n"), F.col("x")).otherwise(F.col("y")), F.when(F.col("m") >= F.col("n"), F.col("y")).otherwise(F.col("x"))

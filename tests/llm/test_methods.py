@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import time
 
@@ -281,6 +282,39 @@ def test_lines_just_short_of_linking(spark, written):
     assert max(written.get(t, 0) for t in ("pairs", "open")) < 10_000, written
 
 
+def test_few_files_of_lines_to_compare(spark, monkeypatch):
+    files = {}
+
+    def counted(df, tag, *more):
+        out = common.staged(df, tag, *more)
+        names = [n for _, _, found in os.walk(out.staged_path.removeprefix("file://")) for n in found]
+        files.setdefault(tag, []).append(sum(n.endswith(".parquet") for n in names))
+        assert not any(n.endswith(".crc") for n in names), tag
+        return out
+
+    for module in (buckets, line_dedup):
+        monkeypatch.setattr(module, "staged", counted)
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20] * 9} the same line but for two signs {i % 20:03d}") for i in range(40)]
+    rows += [(100 + i, rows[i][1][:-1] + "x") for i in range(20)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).where("n_dropped > 0")
+    assert {r.doc_id for r in got.collect()} == {*range(20, 40), *range(100, 120)}
+    assert files["lines"][0] > 4 and set(files["texts"]) == {1}, files
+
+
+def test_small_tables_have_few_writers(spark):
+    def files(df):
+        return sum(n.endswith(".parquet") for n in os.listdir(common.staged(df, "few").staged_path.removeprefix("file://")))
+
+    few = common.CORE_TASKS * spark.sparkContext.defaultParallelism
+    assert files(spark.range(0, 10_000, 1, 5 * few)) == few
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:  # as if it were large
+        assert files(spark.range(0, 10_000, 1, 5 * few)) == 5 * few
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_line_hashes_that_collide(spark, monkeypatch):
     kept = F.xxhash64
     monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: kept(*c) if len(c) != 1 else kept(F.length(c[0])))
