@@ -59,3 +59,13 @@ def test_hook_files_and_raised_severities(spark):
         ("s", "PROCESS", "runtime", "", "CRITICAL"),
     ]
     assert ("p", "install-code-execution", 1) in [tuple(r) for r in caps.shapes(rows).collect()]
+
+
+def test_links_of_one_package_are_dealt_over_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "AB"[k % 2], 1) for k in range(2000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["cross_links"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    by = [(r.task, r.target) for r in got.select("task", "target").distinct().collect()]
+    assert len({t for t, _ in by}) >= 8 and len(by) <= len({t for t, _ in by}) + 1  # tasks share a target, and hold few
