@@ -164,7 +164,7 @@ h AS (SELECT doc_id, CAST(max(t) AS BIGINT) AS bytes, CAST(round(sum(-n / t * lo
 @query(_ENTROPY + " SELECT * FROM h")
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte entropy of whole documents in thousandths of a bit."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), signals.byte_entropy(F.col("text")).alias("entropy"))
+    return signals.text_entropy(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(_ENTROPY + """

@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+import pytest
+from compare import same
+
 from lockgrain.plans import catalog
 
 
@@ -69,3 +72,20 @@ def test_links_of_one_package_are_dealt_over_tasks(spark, tmp_path):
     got = catalog.QUERIES["cross_links"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
     by = [(r.task, r.target) for r in got.select("task", "target").distinct().collect()]
     assert len({t for t, _ in by}) >= 8 and len(by) <= len({t for t, _ in by}) + 1  # tasks share a target, and hold few
+
+
+def _documents(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    made = next(tmp_path.glob("made/*.parquet"))
+    (tmp_path / "in").mkdir()
+    made.rename(tmp_path / "in" / "documents.parquet")
+    return str(tmp_path / "in")
+
+
+@pytest.mark.parametrize("name", ["entropy", "entropy_jump"])
+@pytest.mark.parametrize("again", [[], [(1, "xyz" * 90), (4, "äöü" * 99), (None, "n"), (None, "m")]], ids=["keys once", "keys again"])
+def test_entropy_of_odd_rows_equals_sql(spark, tmp_path, name, again):
+    varied = "".join(map(chr, range(32, 127))) * 4
+    rows = [(1, "a" * 300), (2, varied), (3, ""), (4, varied), (5, None), (6, varied), (7, "é"), (8, varied[:300]), (9, "aabcdefghijklmnopqrstuvwxyz01234")]
+    folder = _documents(spark, tmp_path, rows + again)
+    same(catalog.QUERIES[name](spark, folder), catalog.ORACLE_SQL[name], folder)
