@@ -110,11 +110,28 @@ def byte_arrays(source: str) -> Iterator[tuple[int, str, int]]:
             yield m.start(), signals.NUMBER_ARRAY, len(items)
 
 
+#: What a worker remembers of files that many artifacts hold alike: so many, of so many bytes, with so many facts at most.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_FACTS = 256, 32 << 10, 64
+_remembered: dict[tuple[str, bytes, int, float], list[dict]] = {}
+
+
 def _source_facts(artifact: str, file: str, content: bytes | None, max_bytes: int, seconds: float, stop_at: float | None) -> list[dict]:
-    own = {"artifact": artifact, "file": file}
+    own, data = {"artifact": artifact}, content or b""
     if _late(stop_at):
-        return [own | {"fact": "stopped", "kind": STOPPED, "detail": STOP_DETAIL}]
-    data = content or b""
+        return [own | {"file": file, "fact": "stopped", "kind": STOPPED, "detail": STOP_DETAIL}]
+    key = (file, data, max_bytes, seconds)
+    facts = _remembered.pop(key, None) if len(data) <= REMEMBERED_BYTES else None
+    if facts is None:
+        facts = _facts_of(file, data, max_bytes, seconds)
+    if len(data) <= REMEMBERED_BYTES and len(facts) <= REMEMBERED_FACTS:
+        _remembered[key] = facts  # the latest stand last
+        if len(_remembered) > REMEMBERED:
+            del _remembered[next(iter(_remembered))]
+    return [own | f for f in facts]
+
+
+def _facts_of(file: str, data: bytes, max_bytes: int, seconds: float) -> list[dict]:
+    own = {"file": file}
     state, found, fault = jsscan.scan(file, data, max_bytes, seconds)
     rows = [own | {"fact": "detection", "state": state, "kind": k, "line": line, "snippet": s} for k, line, s in found]
     if fault:

@@ -39,6 +39,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks a core over which the rows of a small file are dealt before costly work.
+CORE_TASKS = 4
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores: a table of many short rows is one or two tasks as it is read."""
+    return rows.repartition(CORE_TASKS * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 @query(f"""
 WITH old AS (SELECT o_custkey, arg_max(struct_pack(k := o_orderkey, s := o_orderstatus, p := o_orderpriority), (o_orderdate, o_orderkey)) AS v FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}' GROUP BY 1),
 new AS (SELECT o_custkey, arg_max(struct_pack(k := o_orderkey, s := o_orderstatus, p := o_orderpriority), (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY 1)

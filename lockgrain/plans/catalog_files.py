@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lockgrain.operators import capabilities as caps
 from lockgrain.operators import extraction, findings, lockfile, signals
-from lockgrain.plans.catalog import query, read
+from lockgrain.plans.catalog import dealt, query, read
 from lockgrain.sources import retrieval
 
 #: Parts of one made-up lockfile or package.
@@ -197,7 +197,7 @@ _FOUND = ", ".join(f"({k}, '{fact}', '{kind}', {line})" for k, (_, _, found) in
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % len(SCRIPTS)
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("artifact"), choose(k, [F.lit(s[0]) for s in SCRIPTS]).alias("path"), choose(k, [F.lit(s[1]) for s in SCRIPTS]).cast("binary").alias("content"))
+    return dealt(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("artifact"), choose(k, [F.lit(s[0]) for s in SCRIPTS]).alias("path"), choose(k, [F.lit(s[1]) for s in SCRIPTS]).cast("binary").alias("content"))
 
 
 @query(f"""

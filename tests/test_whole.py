@@ -4,8 +4,11 @@ from datetime import datetime
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
-from lockgrain.plans import catalog
+from lockgrain.plans import catalog, catalog_files
+
+assert catalog_files.SCRIPTS
 
 
 def run(spark, tmp_path, name, **tables):
@@ -96,3 +99,25 @@ def test_entropy_hands_few_bytes_to_a_worker(spark, tmp_path):
     spark.conf.set(key, str(1 << 30))
     catalog.QUERIES["entropy"](spark, _documents(spark, tmp_path, [(1, "a")])).collect()
     assert int(spark.conf.get(key)) <= 8 << 20
+
+
+@pytest.mark.parametrize("name", ["script_facts", "source_states"])
+def test_scripts_are_read_by_all_cores(spark, tmp_path, name):
+    spark.range(400).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= 8
+
+
+def test_equal_files_are_read_once_by_a_worker(monkeypatch):
+    from lockgrain.operators import extraction
+
+    read, scan = [], extraction.jsscan.scan
+    monkeypatch.setattr(extraction.jsscan, "scan", lambda *a: read.append(a[:2]) or scan(*a))
+    facts = lambda artifact, file, data, bound=2 << 20: extraction._source_facts(artifact, file, data, bound, 60.0, None)
+    one, two = facts("p", "x.js", b"eval('1'); // once"), facts("q", "x.js", b"eval('1'); // once")
+    assert [f | {"artifact": "q"} for f in one] == two and {f["artifact"] for f in one} == {"p"} and len(read) == 1
+    assert facts("p", "y.js", b"eval('1'); // once")[0]["file"] == "y.js" and facts("p", "x.js", b"eval('1'); // once", 3)[0]["fact"] == "diagnostic"
+    large = b"eval('1');" + b" " * extraction.REMEMBERED_BYTES
+    assert facts("p", "x.js", large) == facts("p", "x.js", large) and len(read) == 5
+    for k in range(extraction.REMEMBERED + 9):
+        facts("p", f"{k}.js", b"1")
+    assert len(extraction._remembered) == extraction.REMEMBERED
