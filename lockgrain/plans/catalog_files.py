@@ -224,7 +224,7 @@ h AS (SELECT pkg, kind, CASE WHEN k = 0 AND pkg % 2 = 0 THEN 'postinstall' WHEN
 SELECT CAST(pkg AS VARCHAR) AS pkg, kind, CASE WHEN hook IS NULL THEN 'runtime' ELSE 'install-script' END AS location, hook, count(DISTINCT (k, line)) AS n FROM h GROUP BY ALL""")
 def code_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code capabilities by kind and location, where install hooks run one of the files."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("artifact"), F.floor(F.col("p_partkey") / 40).alias("n"))
+    part = dealt(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("artifact"), F.floor(F.col("p_partkey") / 40).alias("n"))
     side = part.select("artifact", F.col("n").cast("string").alias("pkg"), F.lit("new").alias("side"))
     found = side.join(extraction.sources(_scripts(spark, sf_dir)).where("fact = 'detection'"), "artifact")
     hook = F.when(F.col("n") % 2 == 0, "postinstall").otherwise("install")
