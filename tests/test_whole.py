@@ -121,3 +121,10 @@ def test_equal_files_are_read_once_by_a_worker(monkeypatch):
     for k in range(extraction.REMEMBERED + 9):
         facts("p", f"{k}.js", b"1")
     assert len(extraction._remembered) == extraction.REMEMBERED
+
+
+def test_lockfile_entries_are_dealt_over_all_cores(spark):
+    rows = spark.range(100, numPartitions=1)
+    assert catalog.dealt(rows, "id").rdd.getNumPartitions() == catalog.CORE_TASKS * spark.sparkContext.defaultParallelism
+    made = catalog.QUERIES["lockfile_diff"](spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().sparkPlan().toString() or "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString()
